@@ -27,7 +27,7 @@ BITS = 16
 GRAM = 4
 #: Grams of ratio 0 that every document is given, so that a few words can't condemn it.
 PRIOR = 32
-THRESHOLD = -0.4
+THRESHOLD = -0.5
 #: Trusted documents that the target is counted on at most, the first by a hash of their id.
 TARGET_ROWS = 50_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
