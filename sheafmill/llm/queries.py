@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import bpe, quality_rules, token_counts
+from .common import shared_dir, stored, table
+
+VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+#: The vocabulary has ids below 50,256; this one is free and ends a document in token files.
+END_OF_DOCUMENT = 50256
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents are written and then scanned; doc_id comes back by place."""
+    folder = shared_dir(spark)
+    placed = stored(token_counts.write_files(table(spark, sf_dir, "documents"), f"{folder}/tokens", VOCABULARY, PATTERN, END_OF_DOCUMENT), f"{folder}/placed")
+    counted = token_counts.scan(placed.select("file").distinct(), END_OF_DOCUMENT)
+    return placed.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +35,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_token_counts": op2_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
