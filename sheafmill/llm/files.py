@@ -17,4 +17,4 @@ def opened(uri: str, mode: str = "r"):
     if mode == "r":
         return system.open_input_file(path)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path, buffer_size=1 << 20)
+    return system.open_output_stream(path, compression=None, buffer_size=1 << 20)

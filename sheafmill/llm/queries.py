@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secrets, token_counts
+from . import bpe, quality_rules, secrets, token_counts, url_filters, warc
 from .common import shared_dir, stored, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -28,6 +28,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    written = stored(warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), f"{folder}/warc"), f"{folder}/archives")
+    # one partition an archive: they are the unit of sequential reading
+    return warc.scan(written.repartition("file"))
+
+
+URL_RULES = [
+    url_filters.Rule("block", "com", "/en/"),
+    url_filters.Rule("allow", "example.com", "/en/7"),
+    url_filters.Rule("allow", "net", "/de/"),
+    url_filters.Rule("block", "example.net", "/de/8"),
+    url_filters.Rule("block", "org", "/es/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -41,8 +61,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
+    "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+             d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+             l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM l""",
+}
