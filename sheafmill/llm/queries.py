@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secrets, token_counts, url_filters, warc
+from . import bpe, near_dedup, quality_rules, secrets, token_counts, url_filters, warc
 from .common import shared_dir, stored, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "terminated")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     written = stored(warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), f"{folder}/warc"), f"{folder}/archives")
@@ -61,6 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
+    "op3_near_dedup": op3_near_dedup,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
