@@ -1,4 +1,4 @@
-"""Shared plumbing: shared-folder tables, Arrow text batches and 64-bit mixing."""
+"""Shared plumbing: shared-folder tables, Arrow text batches, key filters and 64-bit mixing."""
 
 from __future__ import annotations
 
@@ -7,11 +7,16 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text of one vectorised step; a text longer than this is a step of its own.
 CHUNK_BYTES = 2 << 20
+#: Bits of a key filter. Its size doesn't depend on the number of keys, so it may be sent to all tasks;
+#: with very many keys it merely lets more rows through to the exact join behind it.
+FILTER_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +80,56 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random64(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit numbers, the same in every process."""
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+# -- key filters -------------------------------------------------------------------------------
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap with the bits of all values of the one column of `keys`, an integer; nulls are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            used[_bit(batch.column(0).drop_null().to_numpy(zero_copy_only=False))] = True
+        packed = np.packbits(used)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "byte": pa.array(packed[at].astype(np.int32))})
+
+    found = keys.mapInArrow(run, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toPandas()
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    packed[found["at"].to_numpy(np.int64)] = found["byte"].to_numpy(np.int64)
+    return packed
+
+
+def in_filter(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one of the filter's; true for all that are."""
+    bit = _bit(keys)
+    return (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(packed: np.ndarray, key: Column, spark: SparkSession) -> Column:
+    """`in_filter` as a column; only the keys leave the JVM. A null key counts as 0."""
+    shared = spark.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def inside(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, keys.to_numpy()))
+
+    return inside(F.coalesce(key.cast("long"), F.lit(0)))
+
+
+def without(rows: DataFrame, keys: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """`rows` without those whose key is a row of `keys`, whose columns are the names in `made`; rows
+    with a null in their key stay. Only rows that pass a filter of the keys are shuffled."""
+    names = {name: f"__{name}__{k}" for k, name in enumerate(made)}
+    keyed = rows.withColumns({names[name]: column for name, column in made.items()})
+    first = next(iter(made))
+    maybe = may_be_in(key_filter(keys.select(first)), F.col(names[first]), rows.sparkSession)
+    dropped = keys.select(*(F.col(name).alias(names[name]) for name in made)).distinct()
+    left = keyed.where(maybe).join(dropped, list(names.values()), "left_anti")
+    return keyed.where(~maybe).select(rows.columns).union(left.select(rows.columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, random64, shared_dir, stored, text_batches, utf8
+from .common import key_filter, may_be_in, mix64, random64, shared_dir, stored, text_batches, utf8
 from .words import Words, trigrams
 
 ROWS, BANDS, SAMPLES, SKETCH_BITS = 5, 20, 256, 512
@@ -35,8 +35,6 @@ ROWS, BANDS, SAMPLES, SKETCH_BITS = 5, 20, 256, 512
 LEAST = 85
 SKETCH_LEAST = 0.70
 BLOCK = 1024
-#: Bits of the filter that keeps texts of no candidate from being shuffled; its size is fixed.
-FILTER_BITS = 1 << 24
 
 _MULTIPLY = (random64(SAMPLES, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _FLIP = (random64(SAMPLES, 32) >> np.uint64(32)).astype(np.uint32)
@@ -202,37 +200,6 @@ def rest_pairs(members: DataFrame, marks: DataFrame, comps: DataFrame, kind: str
 # -- links -------------------------------------------------------------------------------------
 
 
-def _bit(ids: pa.Array) -> np.ndarray:
-    return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    used = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        used[_bit(batch.column("id"))] = True
-    packed = np.packbits(used)
-    words = np.flatnonzero(packed)
-    yield pa.RecordBatch.from_pydict({"at": pa.array(words, pa.int32()), "byte": pa.array(packed[words].astype(np.int32))})
-
-
-def candidates_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id is in `ids`, and a few more: a filter of FILTER_BITS bits, which has
-    a size of its own whatever the number of ids, drops the others where they are read."""
-    spark = docs.sparkSession
-    found = ids.mapInArrow(_bits, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toPandas()
-    packed = np.zeros(FILTER_BITS // 8, np.uint8)
-    packed[found["at"].to_numpy(np.int64)] = found["byte"].to_numpy(np.uint8)
-    shared = spark.sparkContext.broadcast(packed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("id").is_valid())
-            bit = _bit(batch.column("id"))
-            yield batch.filter(pa.array((shared.value[bit >> 3] >> (7 - (bit & 7))) & 1 == 1))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_batches(iter([whole]), "text_a"):
@@ -251,7 +218,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     """The pairs (a, b) whose full sets are linked. A text moves once to each side of its pairs; of a
     hot id's pairs, the one row of its text is repeated where adaptive execution splits them."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    texts = candidates_only(docs, ids)
+    texts = docs.where(may_be_in(key_filter(ids), F.col("id"), docs.sparkSession))
     a, b = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").mapInArrow(_linked, f"a {kind}, b {kind}").distinct()
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality_rules, secrets, token_counts, url_filters, warc
+from . import bpe, decontamination, near_dedup, quality_rules, secrets, token_counts, url_filters, warc
 from .common import shared_dir, stored, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -56,6 +56,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -69,10 +73,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
+#: Lists of distinct three-word shingles; with one or two words, of them all.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+             s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE {_SHINGLES} END AS s FROM w),
+             n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+             e AS (SELECT doc_id, unnest(s) AS g FROM s),
+             c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+             l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+             d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, d.b FROM r JOIN d ON r.other = d.a),
+             m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id),
+             f AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+             q AS (SELECT doc_id, n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM f GROUP BY ALL),
+             k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h, n) AS class_id FROM q)
+        SELECT n.doc_id, n.n AS n_shingles, coalesce(class_id, n.doc_id) AS class_id, component_id, n.doc_id = component_id AS kept
+        FROM n JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op9_decontamination": f"""
+        WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+             e AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM w WHERE len(w) >= 3),
+             v AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+             i AS (SELECT item_id, {_SHINGLES} AS s FROM v WHERE len(w) >= 3),
+             u AS (SELECT item_id, len(s) AS item_size, unnest(s) AS g FROM i)
+        SELECT doc_id, item_id, count(*) AS n_shared, item_size, count(*) / item_size AS containment
+        FROM e JOIN u USING (g) GROUP BY doc_id, item_id, item_size HAVING 100 * count(*) >= 70 * item_size""",
     "op5_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
              d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
