@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, near_dedup, quality_rules, secrets, token_counts, url_filters, warc
+from . import bpe, decontamination, near_dedup, pii, quality_rules, secrets, token_counts, url_filters, warc
 from .common import shared_dir, stored, table
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -32,6 +32,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"))
 
 
+#: The setting that holds the pseudonym key; a deployment sets its own secret.
+PSEUDONYM_KEY = "spark.sheafmill.pseudonym.key"
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get(PSEUDONYM_KEY, "not secret: for tests only")
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key.encode())
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     written = stored(warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), f"{folder}/warc"), f"{folder}/archives")
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_token_counts": op2_token_counts,
     "op3_near_dedup": op3_near_dedup,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
