@@ -201,25 +201,29 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     return _over(docs, id_col, text_col, run, "ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, the digest of the ids and the digest of the bytes decoded from them.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id_col, n_tokens, the digest of the ids and the digest of the bytes decoded from them; with
+    `with_ids` also the ids.
 
     Nulls, empty texts and repeated rows: as `tokenize`. The digests are taken where the ids are
-    made, so neither ids nor decoded texts leave the worker.
+    made, so decoded texts don't leave the worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in text_batches(batches, "text"):
-            counts, digests, decoded = [], [], []
+            counts, digests, decoded, kept = [], [], [], []
             for text in batch.column("text"):
                 ids = own.encode(text.as_py() or "")
                 counts.append(len(ids))
                 digests.append(own.digest(ids))
                 decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+            columns = {"id": batch.column("id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": _lists(kept)} if with_ids else {}))
 
-    return _over(docs, id_col, text_col, run, SCHEMA)
+    return _over(docs, id_col, text_col, run, SCHEMA + ", ids array<int>" * with_ids)
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, may_be_in, mix64, random64, shared_dir, stored, text_batches, utf8
+from .common import key_filter, may_be_in, mix64, random64, shared_dir, stored, text_batches, utf8, without
 from .words import Words, trigrams
 
 ROWS, BANDS, SAMPLES, SKETCH_BITS = 5, 20, 256, 512
@@ -289,3 +289,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     joined = classes.join(found.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("comp", "class")
     return joined.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("class").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """One row of each component, with all its columns: that of the component's smallest id. Of several
+    rows with that id the one with the smallest text stays; rows without an id all stay."""
+    folder = folder or shared_dir(docs.sparkSession)
+    found = stored(find(docs, id_col, text_col, folder).select(F.col(id_col).alias("id"), "kept").where("id is not null"), f"{folder}/found")
+    lost = found.where("not kept").select("id").distinct()
+    again = stored(found.where("kept").groupBy("id").count().where("count > 1").select("id"), f"{folder}/again")
+    rest = without(docs, lost.union(again), {"id": F.col(id_col)})
+    if not again.take(1):
+        return rest
+    rows = docs.where(may_be_in(key_filter(again), F.col(id_col), docs.sparkSession))
+    rows = rows.join(again.withColumnRenamed("id", id_col), id_col, "left_semi")
+    one = rows.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
+    return rest.union(one.select("row.*"))
