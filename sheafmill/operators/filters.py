@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import scalar
 
 #: Fragments that a recogniser makes of noise; full-width brackets are meant.
-NOISE = ("（204号", "（20", "（2", "（2号", "（20号", "号", "（204", "(cid:)", "(ci:)", "(cd:1)", "cd:)", "c)", "(cd:)", "c", "id:)", ":)", "√:)", "√i:)", "-i:)", "-:", "i:)")
+NOISE = tuple("c 号 :) c) （2 -: i:) √:) （20 （2号 cd:) id:) -i:) √i:) （204 （20号 (cd:) (ci:) （204号 (cd:1) (cid:)".split())
 FORMULAS = ("display_formula", "inline_formula")
 DET_ALGORITHMS, REC_ALGORITHMS = ("DB", "DB++"), ("CRNN", "SVTR_LCNet", "SVTR_HGNet")
 
