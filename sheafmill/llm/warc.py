@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import key_filter, may_be_in, shared_dir, stored
 from .files import opened
 
 MIN_REVISIT = 1000
@@ -120,15 +121,21 @@ def _row(record: Record) -> tuple:
     return _page(headers[b"warc-record-id"]), length, digest, kind, refers
 
 
-def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses). Only digests that occur
-    twice are joined back; the join is by digest, whose hot values adaptive execution splits."""
+def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
+    """page_id, url, payload, digest and refers_to (null for responses). Only digests are grouped; a
+    filter of those that occur twice lets all other payloads be written where they are read, and the
+    rest is joined by digest, whose hot values adaptive execution splits."""
+    folder = folder or shared_dir(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    long = F.octet_length("payload") >= MIN_REVISIT
-    twins = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    joined = rows.withColumn("key", F.when(long, F.col("digest"))).join(twins.withColumnRenamed("digest", "key"), "key", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.coalesce("page_id", F.lit(-1)) != F.col("last"), F.col("last")).alias("refers_to"))
+    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= MIN_REVISIT, F.xxhash64("digest")))
+    twins = rows.where("key is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    twins = stored(twins.select("digest", "last"), f"{folder}/twins")
+    maybe = may_be_in(key_filter(twins.select(F.xxhash64("digest"))), F.col("key"), pages.sparkSession) & F.col("key").isNotNull()
+    columns = ["page_id", "url", "payload", "digest"]
+    joined = rows.where(maybe).join(twins, "digest", "left")
+    refers = F.when(F.coalesce("page_id", F.lit(-1)) != F.col("last"), F.col("last"))
+    return rows.where(~maybe).select(*columns, F.lit(None).cast("long").alias("refers_to")).union(joined.select(*columns, refers.alias("refers_to")))
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
