@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import text_batches
+from .common import shared_dir, stored, text_batches
 from .files import opened
 
 #: Bytes of a block; documents may span any number of them.
@@ -69,10 +69,11 @@ def _blocks(files: DataFrame, width: int, block_bytes: int) -> DataFrame:
     return files.select("file").mapInArrow(run, "file string, start long, size long")
 
 
-def scan(files: DataFrame, eod: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(files: DataFrame, eod: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES, folder: str | None = None) -> DataFrame:
     """file, ordinal, start, n_tokens and terminated of each document in `files` (column file).
 
-    n_tokens doesn't count `eod`. Tokens after a file's last `eod` are one more document, with
+    The prefix scan of a file sees a number or two per block; the separators' places, however many,
+    stay in rows by block and meet it in a join. n_tokens doesn't count `eod`. Tokens after a file's last `eod` are one more document, with
     terminated false; a file without tokens has no documents, and no files give an empty result.
     """
     width = np.dtype(dtype).itemsize
@@ -89,16 +90,19 @@ def scan(files: DataFrame, eod: int, dtype: str = "<u2", block_bytes: int = BLOC
             ends = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
             yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("file", "start", "size")}, "ends": ends})
 
-    blocks = _blocks(files, width, block_bytes).repartition("file", "start").mapInArrow(run, "file string, start long, size long, ends array<long>")
+    folder = folder or shared_dir(files.sparkSession)
+    found = _blocks(files, width, block_bytes).repartition("file", "start").mapInArrow(run, "file string, start long, size long, ends array<long>")
+    blocks = stored(found, f"{folder}/blocks")
     order = Window.partitionBy("file").orderBy("start")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    stitched = blocks.select(
-        "file", "ends", (F.col("start") + F.col("size")).alias("upto"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("base"),
-        F.coalesce(F.max(last).over(before), F.lit(-1)).alias("carry"),
+    scanned = blocks.select("file", "start", F.size("ends").alias("n"), last.alias("last")).select(
+        "file", "start",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+        F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"),
         F.lead("start").over(order).isNull().alias("final"),
     )
+    stitched = blocks.hint("merge").join(scanned, ["file", "start"]).withColumn("upto", F.col("start") + F.col("size"))
     # the last block of a file also closes what no separator ends
     open_end = F.col("final") & (F.col("upto") > F.coalesce(last, F.col("carry")) + 1)
     stitched = stitched.withColumn("all_ends", F.when(open_end, F.concat("ends", F.array("upto"))).otherwise(F.col("ends")))
