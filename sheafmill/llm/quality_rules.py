@@ -131,8 +131,12 @@ def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text
         rows = rows.select("text", F.lit(False).alias("chosen"))
     else:
         ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct()
+        # of many ids, only a share that is some larger than the bound is sorted
+        place = F.shiftrightunsigned(F.xxhash64("id"), 32)
+        share = min(1.0, 1.5 * target_rows / max(ids.count(), 1))
+        ids = ids.where(place < F.lit(int(share * 2**32)))
         # target_rows longs at most, so that the broadcast has a fixed bound
-        ids = ids.orderBy(F.xxhash64("id"), "id").limit(target_rows).withColumn("chosen", F.lit(True))
+        ids = ids.orderBy(place, "id").limit(target_rows).withColumn("chosen", F.lit(True))
         rows = rows.join(F.broadcast(ids), "id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
     counts = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
