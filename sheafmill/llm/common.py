@@ -132,4 +132,10 @@ def without(rows: DataFrame, keys: DataFrame, made: dict[str, Column]) -> DataFr
     maybe = may_be_in(key_filter(keys.select(first)), F.col(names[first]), rows.sparkSession)
     dropped = keys.select(*(F.col(name).alias(names[name]) for name in made)).distinct()
     left = keyed.where(maybe).join(dropped, list(names.values()), "left_anti")
-    return keyed.where(~maybe).select(rows.columns).union(left.select(rows.columns))
+    own = quoted(rows)
+    return keyed.where(~maybe).select(own).union(left.select(own))
+
+
+def quoted(rows: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in rows.columns]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, may_be_in, mix64, random64, shared_dir, stored, text_batches, utf8, without
+from .common import key_filter, may_be_in, mix64, quoted, random64, shared_dir, stored, text_batches, utf8, without
 from .words import Words, trigrams
 
 ROWS, BANDS, SAMPLES, SKETCH_BITS = 5, 20, 256, 512
@@ -303,5 +303,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return rest
     rows = docs.where(may_be_in(key_filter(again), F.col(id_col), docs.sparkSession))
     rows = rows.join(again.withColumnRenamed("id", id_col), id_col, "left_semi")
-    one = rows.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
+    one = rows.groupBy(id_col).agg(F.min_by(F.struct(*quoted(docs)), F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
     return rest.union(one.select("row.*"))

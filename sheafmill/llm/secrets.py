@@ -129,8 +129,8 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of `docs` with their texts redacted, and length_col, if there, as the new length
-    in code points; rows without a span, null texts included, stay as they are."""
+    """The rows of `docs` with their texts redacted, and length_col, if it is there and an
+    integer, as the new length in code points; rows without a span, null texts included, stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text_col):
@@ -138,7 +138,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
             new = [redact(t) for t in texts.to_pylist()]
             columns = {name: batch.column(name) for name in batch.schema.names}
             columns[text_col] = pa.array(new, texts.type)
-            if length_col in columns:
+            if length_col in columns and pa.types.is_integer(columns[length_col].type):
                 old = columns[length_col]
                 lengths = [len(b) if a != b else c for a, b, c in zip(texts.to_pylist(), new, old.to_pylist())]
                 columns[length_col] = pa.array(lengths, old.type)
