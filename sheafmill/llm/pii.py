@@ -44,7 +44,7 @@ _NUMBER = re.compile(
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)"
     r"|(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?P<card>\d(?:[\x20-]?\d){12,18})(?![\w-])"
+    r"|(?P<card>[2-6]\d{12,18}|[2-6]\d{3}(?:[\x20-]\d{4}){2,3}(?:[\x20-]\d{1,4})?|[2-6]\d{3}[\x20-]\d{6}[\x20-]\d{5})(?![\w-])"
     r"|(?P<phone>(?:\+1[\x20.-]?)?\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|(?:\+1[\x20.-]?)?\d{3}[.-]\d{3}[.-]\d{4}|\+1[\x20.-]?\d{3}[\x20.-]?\d{3}[\x20.-]?\d{4}"
     r"|\+[2-9]\d{0,2}[\x20.-]?\(?\d{1,5}\)?(?:[\x20.-]?\d{2,5}){1,4})(?![\w-])"
     r")",
