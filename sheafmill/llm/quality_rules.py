@@ -3,8 +3,9 @@
 Two multinomials over hashed byte 4-grams are counted: one over every document (raw), one over
 the trusted documents (target). A document's score is the sum over its 4-grams of
 log p_target - log p_raw, divided by their number plus `PRIOR`; it is kept if no base rule fails
-and the score reaches `THRESHOLD`. Both passes over the text are narrow; what moves is one row per
-task and used bucket, summed by bucket, and a table of 2**BITS floats that goes back to the tasks.
+and the score reaches `THRESHOLD`. Counting all documents and judging are narrow; what moves is the
+trusted texts, joined to their ids by shuffle, one row per task and used bucket, summed by bucket, and
+a table of 2**BITS floats that goes back to the tasks.
 
 Defined results: null and empty texts have zero in every count and fail the base rule of ten
 words; a null id stays null; repeated rows are judged alike, each by itself; an empty table gives
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, random64, text_batches, utf8
+from .common import key_filter, may_be_in, mix64, random64, text_batches, utf8
 from .words import Words, span_hashes
 
 BITS = 16
@@ -28,8 +29,6 @@ GRAM = 4
 #: Grams of ratio 0 that every document is given, so that a few words can't condemn it.
 PRIOR = 32
 THRESHOLD = -0.5
-#: Trusted documents that the target is counted on at most, the first by a hash of their id.
-TARGET_ROWS = 50_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
@@ -112,33 +111,32 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = (1 << BITS) + 1
-    raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    n = np.zeros(size, np.int64)
     for batch in text_batches(batches, "text"):
-        data, offsets = utf8(batch.column("text"))
-        buckets = gram_buckets(data, offsets)
-        raw += np.bincount(buckets, minlength=size)
-        chosen = batch.column("chosen").to_numpy(zero_copy_only=False).astype(bool)
-        target += np.bincount(buckets[np.repeat(chosen, np.diff(offsets))], minlength=size)
-    used = np.flatnonzero(raw[:-1])
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "raw": raw[used], "target": target[used]})
+        n += np.bincount(gram_buckets(*utf8(batch.column("text"))), minlength=size)
+    used = np.flatnonzero(n[:-1])
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": n[used]})
 
 
-def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """The log ratio of each bucket, from all of `docs` and of those whose id is in `trusted`
+def _chosen(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows whose id is in the one column of `trusted`; only rows that pass a filter of the ids
+    are shuffled, with their texts, and none are left out."""
+    ids = trusted.select(F.col(trusted.columns[0]).cast(rows.schema["id"].dataType).alias("id")).where("id is not null").distinct()
+    maybe = may_be_in(key_filter(ids.select(F.xxhash64("id"))), F.xxhash64("id"), rows.sparkSession)
+    # the ids grow with the input, so they are never broadcast, however small their files look
+    return rows.where(maybe).join(ids.hint("merge"), "id", "left_semi")
+
+
+def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The log ratio of each bucket, from all of `docs` and from all of those whose id is in `trusted`
     (a DataFrame of one column of ids)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if trusted is None:
-        rows = rows.select("text", F.lit(False).alias("chosen"))
-    else:
-        ids = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id is not null").distinct()
-        # of many ids, only a share that is some larger than the bound is sorted
-        place = F.shiftrightunsigned(F.xxhash64("id"), 32)
-        share = min(1.0, 1.5 * target_rows / max(ids.count(), 1))
-        ids = ids.where(place < F.lit(int(share * 2**32)))
-        # target_rows longs at most, so that the broadcast has a fixed bound
-        ids = ids.orderBy(place, "id").limit(target_rows).withColumn("chosen", F.lit(True))
-        rows = rows.join(F.broadcast(ids), "id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    counts = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    none = F.lit(0).cast("long")
+    counts = rows.select("text").mapInArrow(_count, "bucket int, n long").select("bucket", F.col("n").alias("raw"), none.alias("target"))
+    if trusted is not None:
+        chosen = _chosen(rows, trusted).select("text").mapInArrow(_count, "bucket int, n long")
+        counts = counts.union(chosen.select("bucket", none, "n"))
+    counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
     ratio = np.zeros((1 << BITS) + 1)

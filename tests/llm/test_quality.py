@@ -59,6 +59,13 @@ def test_rules_defined_results(spark):
     assert quality_rules.judge(docs.limit(0), quality_rules.fit(docs.limit(0), docs.select("doc_id"))).count() == 0
 
 
+def test_rules_count_every_trusted_document(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('a document of its own, with number ', hex(id * 7919)) AS text")
+    model = quality_rules.fit(docs, docs.select("doc_id"))
+    # as all are trusted, both sides are the same counts
+    assert quality_rules.judge(docs, model).where("abs(score) > 1e-9").count() == 0
+
+
 def test_classifier_on_held_out_rows(spark, tmp_path):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_classifier.score(docs, labels, folder=f"{tmp_path}/a").join(labels, "doc_id").collect()
