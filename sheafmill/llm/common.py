@@ -82,6 +82,39 @@ def random64(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+class KeyTable:
+    """Rows of numbers by distinct 64-bit keys, exactly, for lookups of many keys at once: open
+    addressing with at least two slots a key, so that the table grows with its keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys = np.append(keys.astype(np.uint64), np.uint64(0))
+        #: One row more than there are keys: that of all keys that aren't in the table.
+        self.values = np.concatenate([values, np.zeros_like(values, shape=(1, *values.shape[1:]))])
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(self.keys[:-1])
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key in `values`; -1, the last, for keys that aren't there."""
+        at = self._home(keys)
+        row = self.slots[at]
+        wrong = np.flatnonzero((self.keys[row] != keys) & (row >= 0))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            row[wrong] = found = self.slots[at[wrong]]
+            wrong = wrong[(self.keys[found] != keys[wrong]) & (found >= 0)]
+        return row
+
+
 # -- key filters -------------------------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import io
 import zlib
@@ -5,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sheafmill.llm import files, url_filters, warc
+from sheafmill.llm import common, files, url_filters, warc
 
 RULES = [url_filters.Rule("block", "com", "/en/"), url_filters.Rule("allow", "example.com", "/en/7"), url_filters.Rule("block", "org", "")]
 
@@ -87,3 +88,41 @@ def test_models_tell_urls_apart(spark):
     assert np.mean([r.verdict == "block" for r in rows if r.page_id < 200]) < 0.03
     one = url_filters.fit(spark.createDataFrame(good, "url string, rejected boolean"))
     assert one.threshold == np.inf
+
+
+def test_models_count_exactly(spark):
+    rng = np.random.default_rng(5)
+    rests = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789/"), 30)) for _ in range(3000)]
+    urls = spark.createDataFrame([(f"http://{x}", k % 3 == 0) for k, x in enumerate(rests)], "url string, rejected boolean")
+    model = url_filters.fit(urls)
+    grams, contexts = collections.Counter(), collections.Counter()
+    for k, x in enumerate(rests):
+        x = "\2" * 5 + x + "\3"
+        for i in range(5, len(x)):
+            for order in range(6):
+                grams[k % 3 == 0, x[i - order : i + 1]] += 1
+                contexts[k % 3 == 0, order, x[i - order : i]] += 1
+    assert len(grams) > 1 << 17
+    tried = rests[:10] + ["never/seen0", "abc"]
+
+    def score(x):
+        x, total = "\2" * 5 + x + "\3", 0.0
+        for i in range(5, len(x)):
+            for rejected in (False, True):
+                p = 1 / 256
+                for order in range(6):
+                    p = (grams[rejected, x[i - order : i + 1]] + 2 * p) / (contexts[rejected, order, x[i - order : i]] + 2)
+                total += np.log(p) * (1 if rejected else -1)
+        return total / (len(x) - 5)
+
+    rows = url_filters.judge(spark.createDataFrame([(k, f"x://{x}") for k, x in enumerate(tried)], "page_id long, url string"), [], model).orderBy("page_id").collect()
+    assert np.allclose([r.score for r in rows], [score(x) for x in tried], atol=1e-5)
+
+
+def test_key_table_finds_all_keys_and_no_others():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))
+    known = keys[::2]
+    table = common.KeyTable(known, np.arange(len(known)))
+    assert (table.find(known) == np.arange(len(known))).all() and (table.find(keys[1::2]) == -1).all()
+    assert common.KeyTable(keys[:0], np.zeros((0, 2))).find(keys[:3]).tolist() == [-1, -1, -1]
