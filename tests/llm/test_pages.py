@@ -126,3 +126,23 @@ def test_key_table_finds_all_keys_and_no_others():
     table = common.KeyTable(known, np.arange(len(known)))
     assert (table.find(known) == np.arange(len(known))).all() and (table.find(keys[1::2]) == -1).all()
     assert common.KeyTable(keys[:0], np.zeros((0, 2))).find(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_unruled_urls_like_rejected_ones_are_blocked(spark):
+    rng = np.random.default_rng(7)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    good, bad = (lambda host: f"http://{host}/{word('aeiou', 9)}"), (lambda host: f"http://{host}/{word('xqzjk', 9)}")
+    urls = [good("fine.example") for _ in range(300)] + [bad("spam.example") for _ in range(300)]
+    urls += [good("one.other") for _ in range(600)] + [bad("two.other") for _ in range(300)]
+    rules = [url_filters.Rule("allow", "fine.example", ""), url_filters.Rule("block", "spam.example", "")]
+    rows = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    blocked = [r.verdict == "block" for r in rows]
+    assert np.mean(blocked[900 + 300 :]) > 0.95 and np.mean(blocked[600:1200]) < 0.05
+
+
+def test_cut_is_between_held_out_scores():
+    accepted, rejected = np.zeros(21), np.zeros(21)
+    accepted[[2, 4]], rejected[[10, 12]] = 100, 50
+    assert 4 <= url_filters.cut(accepted, rejected, 0.005) < 10
+    accepted[11] = 20  # a tenth of the accepted may not be blocked
+    assert url_filters.cut(accepted, rejected, 0.005) == 11
