@@ -1,11 +1,13 @@
-"""Quality rules: word and line rules, then a hashed n-gram log-likelihood ratio.
+"""Quality rules: word and line rules, then an n-gram log-likelihood ratio.
 
-Two multinomials over hashed byte 4-grams are counted: one over every document (raw), one over
-the trusted documents (target). A document's score is the sum over its 4-grams of
-log p_target - log p_raw, divided by their number plus `PRIOR`; it is kept if no base rule fails
-and the score reaches `THRESHOLD`. Counting all documents and judging are narrow; what moves is the
-trusted texts, joined to their ids by shuffle, one row per task and used bucket, summed by bucket, and
-a table of 2**BITS floats that goes back to the tasks.
+Two multinomials over byte 4-grams are counted exactly: one over every document (raw), one over the
+trusted documents (target). A document's score is the sum over its 4-grams of log p_target - log p_raw,
+divided by their number plus `PRIOR`. Both sides are smoothed in proportion to their size, so that a gram
+that was hardly seen says little. A document is kept if no base rule fails and its score reaches a
+threshold that at most `FALSE_REJECTS` of the trusted documents are below, each scored without its own
+counts in the target. Counting all documents and judging are narrow; what moves is the trusted texts,
+joined to their ids by shuffle, one row per task and gram, summed by gram, and the table of all grams,
+which goes back to the tasks and grows with the distinct grams of the corpus.
 
 Defined results: null and empty texts have zero in every count and fail the base rule of ten
 words; a null id stays null; repeated rows are judged alike, each by itself; an empty table gives
@@ -14,21 +16,28 @@ an empty result; without trusted documents the ratio is 0 and the base rules alo
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, may_be_in, mix64, random64, text_batches, utf8
+from .common import KeyTable, key_filter, may_be_in, mix64, random64, text_batches, utf8
 from .words import Words, span_hashes
 
-BITS = 16
 GRAM = 4
+#: The key where a 4-gram would leave its text.
+NO_GRAM = 1 << 32
 #: Grams of ratio 0 that every document is given, so that a few words can't condemn it.
 PRIOR = 32
-THRESHOLD = -0.5
+FALSE_REJECTS = 0.005
+#: Bins a nat for the threshold, which spans -LIMIT to LIMIT nats a gram.
+FINE, LIMIT = 1000, 16
+#: Rows of counts that a task holds before it merges them.
+HELD = 1 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
@@ -37,18 +46,16 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _FIVE = random64(5, 21)
 
 
-def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The bucket of the 4-gram at each byte; 2**BITS where it would leave its text."""
-    out = np.empty(len(data), np.int32)
+def gram_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The 4-gram at each byte; NO_GRAM where it would leave its text."""
+    out = np.empty(len(data), np.uint64)
     for shift in range(GRAM):
         whole = (len(data) - shift) // GRAM
         if whole > 0:
-            grams = np.frombuffer(data[shift : shift + whole * GRAM].tobytes(), "<u4")
-            grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0x9E3779B1)
-            out[shift : shift + whole * GRAM : GRAM] = grams >> np.uint32(32 - BITS)
+            out[shift : shift + whole * GRAM : GRAM] = np.frombuffer(data[shift : shift + whole * GRAM].tobytes(), "<u4")
     for back in range(1, GRAM):
         at = offsets[1:] - back
-        out[at[at >= offsets[:-1]]] = 1 << BITS
+        out[at[at >= offsets[:-1]]] = NO_GRAM
     return out
 
 
@@ -109,13 +116,30 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
     return (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, n = (np.concatenate(x) for x in zip(*held))
+    used, which = np.unique(grams, return_inverse=True)
+    return used, np.bincount(which, n, minlength=len(used)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = (1 << BITS) + 1
-    n = np.zeros(size, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = least = 0
     for batch in text_batches(batches, "text"):
-        n += np.bincount(gram_buckets(*utf8(batch.column("text"))), minlength=size)
-    used = np.flatnonzero(n[:-1])
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": n[used]})
+        grams = gram_keys(*utf8(batch.column("text")))
+        held.append(np.unique(grams[grams != NO_GRAM].astype(np.uint32), return_counts=True))
+        rows += len(held[-1][0])
+        if rows > least + HELD:
+            held = [_merged(held)]
+            rows = least = len(held[0][0])
+    if rows:
+        grams, n = _merged(held)
+        yield pa.RecordBatch.from_pydict({"gram": grams.astype(np.int64), "n": n})
+
+
+class Model(NamedTuple):
+    table: KeyTable  # the log ratio of each gram
+    threshold: float
 
 
 def _chosen(rows: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -127,37 +151,62 @@ def _chosen(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     return rows.where(maybe).join(ids.hint("merge"), "id", "left_semi")
 
 
-def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratio of each bucket, from all of `docs` and from all of those whose id is in `trusted`
-    (a DataFrame of one column of ids)."""
+def _without_own(batch: pa.RecordBatch, table: KeyTable, raw: float, target: float) -> np.ndarray:
+    """The scores of trusted texts, each without its own grams in the target."""
+    data, offsets = utf8(batch.column("text"))
+    grams = gram_keys(data, offsets)
+    inside = grams != NO_GRAM
+    text = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(offsets))
+    used, own = np.unique((text << np.uint64(32) | grams)[inside], return_counts=True)
+    text = (used >> np.uint64(32)).astype(np.int64)
+    counts = table.values[table.find(used & np.uint64(0xFFFFFFFF))]
+    n = np.bincount(text, own, minlength=batch.num_rows)
+    ratio = np.log((counts[:, 1] - own + 1) / (counts[:, 0] * ((target - n) / raw)[text] + 1))
+    return np.bincount(text, own * ratio, minlength=batch.num_rows) / (n + PRIOR)
+
+
+def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", false_rejects: float = FALSE_REJECTS) -> Model:
+    """The log ratio of each gram, from all of `docs` and from all of those whose id is in `trusted`
+    (a DataFrame of one column of ids), and the threshold."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     none = F.lit(0).cast("long")
-    counts = rows.select("text").mapInArrow(_count, "bucket int, n long").select("bucket", F.col("n").alias("raw"), none.alias("target"))
+    counts = rows.select("text").mapInArrow(_count, "gram long, n long").select("gram", F.col("n").alias("raw"), none.alias("target"))
+    chosen = None
     if trusted is not None:
-        chosen = _chosen(rows, trusted).select("text").mapInArrow(_count, "bucket int, n long")
-        counts = counts.union(chosen.select("bucket", none, "n"))
-    counts = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
-    ratio = np.zeros((1 << BITS) + 1)
-    if target.sum():
-        ratio[:-1] = np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
-    return ratio
-
-
-def _judge(batch: pa.RecordBatch, column: str, ratio: np.ndarray) -> dict[str, np.ndarray]:
+        chosen = _chosen(rows, trusted).select("text")
+        counts = counts.union(chosen.mapInArrow(_count, "gram long, n long").select("gram", none, "n"))
+    counts = counts.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    table = KeyTable(counts.pop("gram").to_numpy(np.uint64), counts.to_numpy(np.float64))
+    raw, target = table.values.sum(axis=0)
+    ratio = copy.copy(table)
+    if not target:
+        ratio.values = np.zeros(len(table.values))
+        return Model(ratio, -np.inf)
+    ratio.values = np.log((table.values[:, 1] + 1) / (table.values[:, 0] * (target / raw) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            score = _without_own(batch, shared.value, raw, target)
+            yield pa.RecordBatch.from_pydict({"bin": pa.array(np.floor(np.clip(score, -LIMIT, LIMIT) * FINE), pa.int32())})
+
+    held = chosen.where("text != ''").mapInArrow(bins, "bin int").groupBy("bin").count().toPandas().sort_values("bin")
+    below = held["count"].cumsum() - held["count"]
+    return Model(ratio, float(held.bin[below <= false_rejects * held["count"].sum()].max()) / FINE)
+
+
+def _judge(batch: pa.RecordBatch, column: str, model: Model) -> dict[str, np.ndarray]:
     data, offsets = utf8(batch.column(column))
     base = base_columns(data, offsets)
     failed = base_failed(base)
-    buckets = gram_buckets(data, offsets)
-    total = _sums(ratio[buckets], offsets, np.float64)
+    total = _sums(model.table.values[model.table.find(gram_keys(data, offsets))], offsets, np.float64)
     score = total / (np.maximum(np.diff(offsets) - GRAM + 1, 0) + PRIOR)
-    return base | {"base_failed": failed, "kept": ~failed & (score >= THRESHOLD), "score": score}
+    return base | {"base_failed": failed, "kept": ~failed & (score >= model.threshold), "score": score}
 
 
-def judge(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and the columns of DIGEST for each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
@@ -168,9 +217,9 @@ def judge(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"id {kind}, {DIGEST}").withColumnRenamed("id", id_col)
 
 
-def keep(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, text_col):

@@ -66,6 +66,19 @@ def test_rules_count_every_trusted_document(spark):
     assert quality_rules.judge(docs, model).where("abs(score) > 1e-9").count() == 0
 
 
+def test_rules_tell_junk_among_many_grams(spark):
+    rng = np.random.default_rng(3)
+    clean, junk = list("abcdefghijklmnopqrstuvwxyz12345 "), list("ABCDEFGHIJKLMNOPQRSTUVWXYZ67890 ")
+    texts = ["".join(rng.choice(letters, 600)) for letters in (clean, junk) for _ in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality_rules.fit(docs, docs.where("doc_id < 1000").select("doc_id"))
+    assert len(model.table.keys) == 1 + len({t[k : k + 4] for t in texts for k in range(597)}) > 1 << 19
+    kept = {r.doc_id for r in quality_rules.judge(docs, model).where("kept").collect()}
+    passed = {r.doc_id for r in quality_rules.judge(docs, model).where("not base_failed").collect()}
+    assert len(kept & set(range(1000, 2000))) > 0.97 * len(passed & set(range(1000, 2000)))
+    assert len(kept & set(range(2000, 4000))) < 0.05 * len(passed & set(range(2000, 4000)))
+
+
 def test_classifier_on_held_out_rows(spark, tmp_path):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_classifier.score(docs, labels, folder=f"{tmp_path}/a").join(labels, "doc_id").collect()
