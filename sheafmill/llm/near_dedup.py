@@ -291,6 +291,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder
     return joined.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("class").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """All confirmed links (a, b), a < b, between the representatives of classes; `find` gives the
+    members of each. Every pair of a bucket is compared by sketch, in blocks, whatever its component."""
+    folder = folder or shared_dir(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    kind = rows.schema["id"].dataType.simpleString()
+    sets = stored(signatures(rows).where("size > 0"), f"{folder}/link-sets")
+    equal = sets.groupBy("sum_a", "sum_b").agg(F.min("id").alias("first"))
+    marks = stored(sets.join(equal, ["sum_a", "sum_b"]).where("id = first").select("id", "size", "keys", "sketch"), f"{folder}/link-marks")
+    members = marks.select("id", F.explode("keys").alias("key")).distinct()
+    none = marks.select("id", F.col("id").alias("comp")).limit(0)
+    pairs = stored(rest_pairs(members, marks, none, kind), f"{folder}/link-pairs")
+    return confirmed(pairs, rows, kind)
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """One row of each component, with all its columns: that of the component's smallest id. Of several
     rows with that id the one with the smallest text stays; rows without an id all stay."""

@@ -124,3 +124,12 @@ def test_components_of_chains_and_hubs(spark, tmp_path):
         lead[y] = x
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert near_dedup.components(spark.createDataFrame([], "a long, b long"), f"{tmp_path}/d").count() == 0
+
+
+def test_links_hold_every_pair_of_a_group(spark, tmp_path):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base[: 10 * k], f"new{k}", *base[10 * k + 1 :]])) for k in range(1, 13)]
+    rows += [(20, rows[0][1]), (21, "some other text of its own"), (22, None)]  # equal to the first; alone; empty
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.a, r.b) for r in near_dedup.links(docs, folder=f"{tmp_path}/l").collect()}
+    assert got == {(a, b) for a in range(1, 13) for b in range(a + 1, 13)}
