@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,22 +18,49 @@ from pyspark.sql import functions as F
 
 #: Text of one vectorised step; a text longer than this is a step of its own.
 CHUNK_BYTES = 2 << 20
-#: Bits of a key filter. Its size doesn't depend on the number of keys, so it may be sent to all tasks;
-#: with very many keys it merely lets more rows through to the exact join behind it.
-FILTER_BITS = 1 << 24
+#: A key filter has eight bits a key, between these limits, so it is at most 64 MB and may be sent to
+#: all tasks. Beyond some hundred million keys it lets more rows through to the exact join behind it.
+FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 29
+#: Bits of a piece of a filter, which is a row on the way to the driver.
+PIECE_BITS = 1 << 16
+#: Keys of a fixed width that may be broadcast, after they have been counted: some 50 MB.
+BROADCAST_KEYS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made by `shared_dir` and not yet removed.
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below `spark.checkpoint.dir`; only where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below `spark.checkpoint.dir`, as a URI that executors resolve as the driver does.
+    Only a local session may go without that setting, as tests do; its folder goes when the process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        base = known or tempfile.mkdtemp(prefix="sheafmill-")
-    return f"{base.rstrip('/')}/sheafmill-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sheafmill-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _folders.append(f"{base.rstrip('/')}/sheafmill-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the shared folders made inside, whose tables must then have been read for good."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        for folder in _folders[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _folders[before:]
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -118,30 +149,43 @@ class KeyTable:
 # -- key filters -------------------------------------------------------------------------------
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(keys.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
     """A bitmap with the bits of all values of the one column of `keys`, an integer; nulls are left out."""
+    bits = min(max(1 << int(8 * keys.count()).bit_length(), FILTER_LEAST), FILTER_MOST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = np.zeros(FILTER_BITS, bool)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            used[_bit(batch.column(0).drop_null().to_numpy(zero_copy_only=False))] = True
-        packed = np.packbits(used)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "byte": pa.array(packed[at].astype(np.int32))})
+            at = np.unique(_bit(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(at // PIECE_BITS, pa.int32()), "at": pa.array(at % PIECE_BITS, pa.int32())})
 
-    found = keys.mapInArrow(run, "at int, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toPandas()
-    packed = np.zeros(FILTER_BITS // 8, np.uint8)
-    packed[found["at"].to_numpy(np.int64)] = found["byte"].to_numpy(np.int64)
-    return packed
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece, at = batch.column("piece").to_numpy(), batch.column("at").to_numpy()
+            order = np.argsort(piece, kind="stable")
+            cuts = np.flatnonzero(np.diff(piece[order])) + 1
+            for own in np.split(order, cuts) if len(order) else ():
+                used = np.zeros(PIECE_BITS, bool)
+                used[at[own]] = True
+                k = int(piece[own[0]])
+                held[k] = np.packbits(used) | held.get(k, np.uint8(0))
+        for k, used in held.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "bits": pa.array([used.tobytes()], pa.binary())})
+
+    found = keys.mapInArrow(places, "piece int, at int").repartition("piece").mapInArrow(pieces, "piece int, bits binary").toPandas()
+    packed = np.zeros((bits // PIECE_BITS, PIECE_BITS // 8), np.uint8)
+    for k, used in zip(found["piece"], found["bits"]):
+        packed[k] = np.frombuffer(used, np.uint8)
+    return packed.ravel()
 
 
 def in_filter(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be one of the filter's; true for all that are."""
-    bit = _bit(keys)
+    bit = _bit(keys, 8 * len(packed))
     return (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
@@ -157,18 +201,28 @@ def may_be_in(packed: np.ndarray, key: Column, spark: SparkSession) -> Column:
 
 
 def without(rows: DataFrame, keys: DataFrame, made: dict[str, Column]) -> DataFrame:
-    """`rows` without those whose key is a row of `keys`, whose columns are the names in `made`; rows
-    with a null in their key stay. Only rows that pass a filter of the keys are shuffled."""
+    """`rows` without those whose key is a row of `keys`, integers whose columns are the names in `made`;
+    rows with a null in their key stay. Keys up to BROADCAST_KEYS go to the rows; of more, a filter goes
+    first, and only rows that pass it are shuffled."""
     names = {name: f"__{name}__{k}" for k, name in enumerate(made)}
     keyed = rows.withColumns({names[name]: column for name, column in made.items()})
+    dropped = keys.select(*(F.col(name).alias(names[name]) for name in made)).distinct()
+    own = quoted(rows)
+    if keys.count() <= BROADCAST_KEYS:
+        return keyed.join(F.broadcast(dropped), list(names.values()), "left_anti").select(own)
     first = next(iter(made))
     maybe = may_be_in(key_filter(keys.select(first)), F.col(names[first]), rows.sparkSession)
-    dropped = keys.select(*(F.col(name).alias(names[name]) for name in made)).distinct()
     left = keyed.where(maybe).join(dropped, list(names.values()), "left_anti")
-    own = quoted(rows)
     return keyed.where(~maybe).select(own).union(left.select(own))
 
 
+def spread(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """`n` small rows that each stand for much work, such as files to read, in even ranges by the columns
+    `by` over as many tasks as there are rows, up to 32 a core. The number is given, as adaptive
+    execution would join them all into one task by their few bytes."""
+    return rows.repartitionByRange(max(1, min(n, 32 * rows.sparkSession.sparkContext.defaultParallelism)), *by)
+
+
 def quoted(rows: DataFrame) -> list[Column]:
     """All columns, whatever characters their names have."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in rows.columns]

@@ -1,14 +1,17 @@
-"""Files of the shared folder, by the URI that the cluster names it with."""
+"""Files of the shared folder, by the full URIs that `shared_dir` gives."""
 
 from __future__ import annotations
 
-import os
+import re
 
 import pyarrow.fs as fs
 
 
 def _located(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    """A path without a scheme would be another place on each machine, so it is refused."""
+    if ":/" not in uri:
+        raise ValueError(f"{uri} names no file system")
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if re.match("file:/(?!/)", uri) else uri)
 
 
 def opened(uri: str, mode: str = "r"):
