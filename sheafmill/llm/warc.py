@@ -3,18 +3,26 @@
 Pages with equal payloads of at least `MIN_REVISIT` bytes share one response, that with the largest
 id; the others are revisits that name it. The reader inflates member by member with an incremental
 decompressor, frames each record by its content length, and verifies the block and payload digests.
-
-Defined results: a null payload is the empty one; below the limit every page is a response; a null
-id is written without a URI of its own and comes back null; pages with one id are each a record,
-and of equal ones with the largest id, all are responses. An empty table gives no archives.
+Archives of other writers are read as well: digests may be missing, in base 32 or by another
+algorithm (one that is unknown is passed over), and records of other types than response and revisit
+are skipped; a body with a transfer encoding isn't held against its payload digest.
+
+Defined results: a null payload is the empty one; below the limit every page is a response; every
+record has an id of its own, whatever the page's; a null page id comes back null; pages with one id
+are each a record, and of equal ones with the largest id, all are responses. A record of another
+writer has a null page_id, a revisit of one a null refers_to and payload_bytes. An empty table gives no
+archives. A damaged archive raises `Damaged`.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,16 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, may_be_in, shared_dir, stored
+from .common import BROADCAST_KEYS, key_filter, may_be_in, shared_dir, spread, stored
 from .files import opened
 
 MIN_REVISIT = 1000
 #: Bytes that the reader takes from a file at a time.
 READ_BYTES = 1 << 20
 LEVEL = 4
+DATE = b"2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REVISIT = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_ENCODED = re.compile(rb"^transfer-encoding:", re.IGNORECASE | re.MULTILINE)
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
 class Damaged(ValueError):
@@ -43,27 +53,27 @@ class Record(NamedTuple):
     block: bytes
 
 
-def _uri(page_id: int | None) -> bytes:
-    return b"urn:page:%d" % page_id if page_id is not None else b"urn:page:"
-
-
-def encode(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def encode(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
     """One record as one gzip member."""
-    block = HTTP if refers_to is not None else HTTP + payload
+    revisit = refers_to is not None
+    block = HTTP if revisit else HTTP + payload
+    uri = lambda url: (url or "").replace("\r", "%0D").replace("\n", "%0A").encode()
     lines = [
         b"WARC/1.1",
-        b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"),
-        b"WARC-Record-ID: <" + _uri(page_id) + b">",
-        b"WARC-Date: 2024-01-01T00:00:00Z",
-        b"WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A").encode(),
+        b"WARC-Type: " + (b"revisit" if revisit else b"response"),
+        b"WARC-Record-ID: <" + uuid.uuid4().urn.encode() + b">",
+        b"WARC-Date: " + DATE,
+        b"WARC-Target-URI: " + uri(url),
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
         b"WARC-Block-Digest: sha1:" + hashlib.sha1(block).hexdigest().encode(),
         b"X-Payload-Length: %d" % len(payload),
         b"Content-Type: application/http;msgtype=response",
         b"Content-Length: %d" % len(block),
     ]
-    if refers_to is not None:
-        lines += [b"WARC-Profile: " + _REVISIT, b"WARC-Refers-To: <" + _uri(refers_to) + b">"]
+    if page_id is not None:
+        lines.append(b"X-Page-ID: %d" % page_id)
+    if revisit:
+        lines += [b"WARC-Profile: " + _REVISIT, b"WARC-Refers-To-Target-URI: " + uri(refers_url), b"WARC-Refers-To-Date: " + DATE, b"X-Refers-To-Page-ID: %d" % refers_to]
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
@@ -94,48 +104,69 @@ def _record(raw: bytes) -> Record:
     if not mark or not lines[0].startswith(b"WARC/"):
         raise Damaged("no WARC header")
     headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(b":") for line in lines[1:])}
-    length = int(headers[b"content-length"])
-    if rest[length:] != b"\r\n\r\n":
+    length = _number(headers, b"content-length")
+    if length is None or rest[length:] != b"\r\n\r\n":
         raise Damaged("the content length doesn't end the record")
     block = rest[:length]
-    if headers[b"warc-block-digest"] != b"sha1:" + hashlib.sha1(block).hexdigest().encode():
-        raise Damaged("the block digest differs")
+    _verify(headers.get(b"warc-block-digest"), block, "block")
     return Record(headers, block)
 
 
-def _page(uri: bytes) -> int | None:
-    number = uri.strip(b"<>").rpartition(b":")[2]
-    return int(number) if number else None
+def _number(headers: dict[bytes, bytes], name: bytes) -> int | None:
+    if name in headers and not headers[name].isdigit():
+        raise Damaged(f"{name.decode()} isn't a number")
+    return int(headers[name]) if name in headers else None
 
 
-def _row(record: Record) -> tuple:
+def _verify(said: bytes | None, data: bytes | memoryview, what: str) -> None:
+    """Hold data against a digest, `algorithm:value`, hexadecimal or in base 32; none proves nothing."""
+    name, _, value = (said or b"").decode(errors="replace").partition(":")
+    name = name.lower().replace("-", "")
+    if not value or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return
+    made = hashlib.new(name, data).digest()
+    if value.lower() != made.hex() and value.upper().rstrip("=") != base64.b32encode(made).decode().rstrip("="):
+        raise Damaged(f"the {what} digest differs")
+
+
+def _row(record: Record) -> tuple | None:
+    """The columns of SCHEMA; None for records that aren't of a page."""
     headers = record.headers
-    kind = headers[b"warc-type"].decode()
-    digest = headers[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
-    length = int(headers[b"x-payload-length"])
+    kind = headers.get(b"warc-type", b"").decode(errors="replace")
+    if kind not in ("response", "revisit"):
+        return None
+    said, length = headers.get(b"warc-payload-digest"), _number(headers, b"x-payload-length")
+    page, refers, url = _number(headers, b"x-page-id"), _number(headers, b"x-refers-to-page-id"), headers.get(b"warc-target-uri", b"").decode(errors="replace")
     if kind == "response":
-        payload = memoryview(record.block)[record.block.index(b"\r\n\r\n") + 4 :]
-        if len(payload) != length or hashlib.sha1(payload).hexdigest() != digest:
-            raise Damaged("the payload digest differs")
-    refers = _page(headers[b"warc-refers-to"]) if kind == "revisit" else None
-    return _page(headers[b"warc-record-id"]), length, digest, kind, refers
+        http, _, payload = record.block.partition(b"\r\n\r\n")
+        if not _ENCODED.search(http):
+            _verify(said, payload, "payload")
+        if length is not None and length != len(payload):
+            raise Damaged("the payload's length differs")
+        return page, len(payload), hashlib.sha1(payload).hexdigest(), kind, None, url
+    return page, length, (said or b"").rpartition(b":")[2].decode(errors="replace") or None, kind, refers, url
 
 
 def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses). Only digests are grouped; a
-    filter of those that occur twice lets all other payloads be written where they are read, and the
-    rest is joined by digest, whose hot values adaptive execution splits."""
+    """page_id, url, payload, digest and, for revisits, refers_to and refers_url of their response (else
+    null). Only digests are grouped. Those that occur twice go to the payloads if they are few enough;
+    of more, a filter goes, and only payloads that pass it are joined by digest, whose hot values
+    adaptive execution splits."""
     folder = folder or shared_dir(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= MIN_REVISIT, F.xxhash64("digest")))
-    twins = rows.where("key is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    twins = stored(twins.select("digest", "last"), f"{folder}/twins")
+    long = F.octet_length("payload") >= MIN_REVISIT
+    last = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "url"))
+    twins = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("last"), last["url"].alias("last_url"), F.count("*").alias("n")).where("n > 1")
+    twins = stored(twins.drop("n"), f"{folder}/twins")
+    refers = long & (F.coalesce("page_id", F.lit(-1)) != F.col("last"))
+    columns = ["page_id", "url", "payload", "digest", F.when(refers, F.col("last")).alias("refers_to"), F.when(refers, F.col("last_url")).alias("refers_url")]
+    if twins.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(twins), "digest", "left").select(*columns)
+    keyed = rows.withColumn("key", F.when(long, F.xxhash64("digest")))
     maybe = may_be_in(key_filter(twins.select(F.xxhash64("digest"))), F.col("key"), pages.sparkSession) & F.col("key").isNotNull()
-    columns = ["page_id", "url", "payload", "digest"]
-    joined = rows.where(maybe).join(twins, "digest", "left")
-    refers = F.when(F.coalesce("page_id", F.lit(-1)) != F.col("last"), F.col("last"))
-    return rows.where(~maybe).select(*columns, F.lit(None).cast("long").alias("refers_to")).union(joined.select(*columns, refers.alias("refers_to")))
+    alone = keyed.where(~maybe).withColumns({"last": F.lit(None).cast("long"), "last_url": F.lit(None).cast("string")})
+    return alone.select(*columns).union(keyed.where(maybe).join(twins, "digest", "left").select(*columns))
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
@@ -147,7 +178,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         out, n = None, 0
         try:
             for batch in batches:
-                for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+                for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to", "refers_url"))):
                     out = out or opened(name, "w")
                     out.write(encode(*(x.as_py() for x in row)))
                     n += 1
@@ -161,21 +192,16 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """The rows of SCHEMA of all records in `files` (column file), each file read by one task."""
+    """The rows of SCHEMA of the pages in `files` (column file), archives that one task each reads."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                rows: list[tuple] = []
                 with opened(name) as file:
-                    for record in read(file):
-                        rows.append(_row(record))
-                        if len(rows) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
-
-    return files.select("file").mapInArrow(run, SCHEMA)
+                    rows = filter(None, map(_row, read(file)))
+                    while part := list(islice(rows, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), types)], names)
+
+    return spread(files.select("file"), files.count(), "file").mapInArrow(run, SCHEMA)

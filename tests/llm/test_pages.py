@@ -1,3 +1,4 @@
+import base64
 import collections
 import hashlib
 import io
@@ -12,7 +13,7 @@ RULES = [url_filters.Rule("block", "com", "/en/"), url_filters.Rule("allow", "ex
 
 
 def record(number, payload, refers=None):
-    return warc.encode(number, "http://x/é\n", payload, hashlib.sha1(payload).hexdigest(), refers)
+    return warc.encode(number, "http://x/é\n", payload, hashlib.sha1(payload).hexdigest(), refers, refers and "http://x/")
 
 
 class Trickle(io.BytesIO):
@@ -27,8 +28,8 @@ def test_reader_takes_members_one_by_one():
     raw = b"".join(record(k, b) for k, b in enumerate(bodies)) + record(9, bodies[1], 1)
     for source in (io.BytesIO(raw), Trickle(raw)):
         got = [warc._row(r) for r in warc.read(source)]
-        want = [(k, len(b), hashlib.sha1(b).hexdigest(), "response", None) for k, b in enumerate(bodies)]
-        assert got == [*want, (9, 5000, want[1][2], "revisit", 1)]
+        want = [(k, len(b), hashlib.sha1(b).hexdigest(), "response", None, "http://x/é%0A") for k, b in enumerate(bodies)]
+        assert got == [*want, (9, 5000, want[1][2], "revisit", 1, "http://x/é%0A")]
     assert list(warc.read(io.BytesIO(b""))) == []
 
 
@@ -48,7 +49,11 @@ def test_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
     written = warc.write(warc.deduplicated(pages).repartition(3), f"file://{tmp_path}/w")
     written.write.parquet(f"{tmp_path}/archives")
-    got = warc.scan(spark.read.parquet(f"{tmp_path}/archives")).collect()
+    archives = spark.read.parquet(f"{tmp_path}/archives")
+    ids = [r.headers[b"warc-record-id"] for a in archives.collect() for r in warc.read(files.opened(a.file))]
+    assert len(set(ids)) == len(rows)
+    assert warc.scan(archives).rdd.getNumPartitions() == archives.count() > 1
+    got = warc.scan(archives).drop("url").collect()
     want = []
     for number, _, html in rows:
         body = (html or "").encode()
@@ -61,6 +66,39 @@ def test_round_trip(spark, tmp_path):
     assert files.opened(f"file://{tmp_path}/deep/er/a").read() == b"1"
 
 
+def test_many_twins_are_joined_by_a_filter(spark, monkeypatch):
+    rows = [(k, f"u{k}", str(k // 2) * 1200) for k in range(20)] + [(99, "v", None), (98, "v", "alone" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frames = [warc.deduplicated(pages)]
+    monkeypatch.setattr(warc, "BROADCAST_KEYS", 0)
+    frames.append(warc.deduplicated(pages))
+    want = sorted((k, k + 1 if k < 20 and k % 2 == 0 else None, f"u{k + 1}" if k < 20 and k % 2 == 0 else None) for k, _, _ in rows)
+    for frame in frames:
+        assert sorted((r.page_id, r.refers_to, r.refers_url) for r in frame.collect()) == want
+
+
+def other(kind, block, *more):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:1>", b"WARC-Target-URI: http://o/", b"Content-Length: %d" % len(block), *more]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def test_archives_of_other_writers():
+    body = b"<html>"
+    http, hexes = b"HTTP/1.0 200 OK\r\n\r\n" + body, hashlib.sha1(body).hexdigest()
+    b32 = base64.b32encode(hashlib.sha1(body).digest())
+    raw = other(b"warcinfo", b"software: x") + other(b"request", b"GET /") + other(b"response", http) + other(b"response", http, b"WARC-Payload-Digest: sha1:" + b32)
+    raw += other(b"response", http, b"WARC-Payload-Digest: sha256:" + hashlib.sha256(body).hexdigest().encode(), b"WARC-Block-Digest: crc32:00")
+    raw += other(b"response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n6\r\n<html>\r\n0\r\n\r\n", b"WARC-Payload-Digest: sha1:" + b32)
+    raw += other(b"revisit", b"", b"WARC-Payload-Digest: sha1:" + b32)
+    rows = [warc._row(r) for r in warc.read(io.BytesIO(raw))]
+    assert rows[:2] == [None, None] and rows[2:5] == [(None, 6, hexes, "response", None, "http://o/")] * 3
+    assert rows[5][3] == "response" and rows[6] == (None, None, b32.decode(), "revisit", None, "http://o/")
+    for bad in (other(b"response", http, b"WARC-Payload-Digest: sha1:" + b32[::-1]), other(b"response", http, b"X-Payload-Length: seven"), other(b"response", http, b"WARC-Block-Digest: md5:00")):
+        with pytest.raises(warc.Damaged):
+            list(map(warc._row, warc.read(io.BytesIO(bad))))
+
+
 def test_parts_and_rules(spark):
     cases = {
         None: ("", "", None), "no scheme": ("", "", None), "http://A.Example.COM/en/9?q#f": ("a.example.com", "/en/9", "com/en/"),
