@@ -35,12 +35,19 @@ SCHEMA = "n_found long, spans string, pseudonyms string"
 ROUNDS = 10
 #: Dates are permuted within these days.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Lengths by country, those of the whole registry.
+IBAN_LENGTHS = {
+    "NO": 15, "BE": 16, **dict.fromkeys(("DK", "FI", "FO", "GL", "NL", "SD", "FK"), 18), **dict.fromkeys(("MK", "SI"), 19),
+    **dict.fromkeys(("AT", "BA", "EE", "KZ", "LT", "LU", "XK", "MN"), 20), **dict.fromkeys(("CH", "HR", "LI", "LV"), 21), **dict.fromkeys(("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"), 22),
+    **dict.fromkeys(("AE", "GI", "IL", "IQ", "OM", "SO", "TL"), 23), **dict.fromkeys(("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"), 24), **dict.fromkeys(("LY", "PT", "ST"), 25), **dict.fromkeys(("IS", "TR"), 26),
+    **dict.fromkeys(("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"), 27), **dict.fromkeys(("AL", "AZ", "BY", "CY", "DO", "GT", "HN", "HU", "LB", "NI", "PL", "SV"), 28), **dict.fromkeys(("BR", "EG", "PS", "QA", "UA"), 29),
+    **dict.fromkeys(("JO", "KW", "MU", "YE"), 30), **dict.fromkeys(("MT", "SC"), 31), "LC": 32, "RU": 33,
+}
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])", re.ASCII)
 _NUMBER = re.compile(
     r"(?<![\w.])(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,28})(?!\w)"
+    r"(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]){11,30})(?!\w)"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)"
     r"|(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
@@ -59,7 +66,7 @@ class Permutation:
     """Keyed permutations of the numbers below n, one for each label."""
 
     def __init__(self, key: bytes) -> None:
-        self.key = key
+        self.key = key if len(key) <= hashlib.blake2b.MAX_KEY_SIZE else hashlib.blake2b(key).digest()
 
     def _round(self, label: bytes, k: int, half: int) -> int:
         size = (half.bit_length() + 7) // 8 or 1

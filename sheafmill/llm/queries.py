@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from secrets import token_bytes
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +35,20 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"))
 
 
-#: The setting that holds the pseudonym key; a deployment sets its own secret.
-PSEUDONYM_KEY = "spark.sheafmill.pseudonym.key"
+#: The setting that holds the pseudonym key; by the word in its name Spark keeps its value out of logs.
+PSEUDONYM_KEY = "spark.sheafmill.pseudonym.secret"
+
+
+@lru_cache(maxsize=1)
+def _drawn_key(application: str) -> bytes:
+    return token_bytes(32)
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(PSEUDONYM_KEY, "not secret: for tests only")
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), key.encode())
+    """Where no key is set one is drawn for the application, so that nothing published leads back."""
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    own = key.encode() if key else _drawn_key(spark.sparkContext.applicationId)
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), own)
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
