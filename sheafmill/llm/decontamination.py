@@ -11,9 +11,13 @@ Candidates are verified on the full sets: an item leaks if 100 * shared >= LEAST
 
 Equal texts are one text until the end, so that copies are verified once.
 
-Defined results: null and empty texts contain nothing; items of fewer than three words have no shingle
-of three and are not found, nor are null ones; ids, of items too, may be null or repeated and come back
-as they are, every row by itself; empty tables give an empty result.
+An item of one or two words is its whole sequence, and a text holds it where these words stand side by
+side; such items have lookups of their own, made only if there are any. As they are common in clean texts,
+`cleaned` lets them cost no document unless told so.
+
+Defined results: null and empty texts contain nothing, and null and empty items are not found; ids, of
+items too, may be null or repeated and come back as they are, every row by itself; empty tables give
+an empty result; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_filter, key_filter, may_be_in, mix64, shared_dir, stored, text_batches, utf8, without
-from .words import Words, trigrams
+from .words import Words, shingles
 
 SAMPLES, MISS = 16, 1e-9
 LEAST = 70
+SHINGLE = 3
 
 
 def text_keys(text: Column) -> dict[str, Column]:
@@ -40,11 +45,10 @@ def text_keys(text: Column) -> dict[str, Column]:
     return {"key_a": F.xxhash64(known), "key_b": F.xxhash64(F.lit(1), known)}
 
 
-def _shingles(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes in text order, bounds by text, and whether a text has three words."""
+def _shingles(batch: pa.RecordBatch, name: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles of `size` words in text order, and bounds by text."""
     words = Words(*utf8(batch.column(name)))
-    hashes, bounds = trigrams(words, words.hashes(lower=True))
-    return hashes, bounds, words.counts >= 3
+    return shingles(words, words.hashes(lower=True), size)
 
 
 def needed(size: int) -> int:
@@ -67,27 +71,31 @@ def needed_by_partition(partition: int) -> int:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "text"):
-        hashes, bounds, long = _shingles(batch, "text")
-        rows: list[list] = [[], [], [], []]
-        for k in np.flatnonzero(long):
-            own = np.unique(hashes[bounds[k] : bounds[k + 1]])
-            for value in own[np.argsort(mix64(own), kind="stable")[:SAMPLES]].view(np.int64).tolist():
-                for column, x in zip(rows, (k, value, len(own), needed_by_partition(len(own).bit_length() - 1))):
-                    column.append(x)
+        counts = np.minimum(Words(*utf8(batch.column("text"))).counts, SHINGLE)
+        rows: list[list] = [[], [], [], [], []]
+        for words in range(1, SHINGLE + 1):
+            hashes, bounds = _shingles(batch, "text", words)
+            for k in np.flatnonzero(counts == words):
+                own = np.unique(hashes[bounds[k] : bounds[k + 1]])
+                for value in own[np.argsort(mix64(own), kind="stable")[:SAMPLES]].view(np.int64).tolist():
+                    for column, x in zip(rows, (k, value, words, len(own), needed_by_partition(len(own).bit_length() - 1))):
+                        column.append(x)
         at = pa.array(rows[0], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("item_a").take(at), batch.column("item_b").take(at), *(pa.array(x, pa.int64()) for x in rows[1:])], ["item_a", "item_b", "hash", "item_size", "need"])
+        yield pa.RecordBatch.from_arrays([batch.column("item_a").take(at), batch.column("item_b").take(at), *(pa.array(x, pa.int64()) for x in rows[1:])], ["item_a", "item_b", "hash", "words", "item_size", "need"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_batches(iter([whole]), "text"):
-            sides = [_shingles(batch, c) for c in ("text", "item")]
-            shared, size = [], []
-            for k in range(batch.num_rows):
-                own, item = (np.unique(hashes[bounds[k] : bounds[k + 1]]) for hashes, bounds, _ in sides)
-                size.append(len(item))
-                shared.append(int(np.isin(item, own, assume_unique=True).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key_a", "key_b", "item_a", "item_b")), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], ["key_a", "key_b", "item_a", "item_b", "n_shared", "item_size"])
+            counts = np.minimum(Words(*utf8(batch.column("item"))).counts, SHINGLE)
+            shared, size = np.zeros((2, batch.num_rows), np.int64)
+            for words in np.unique(counts[counts > 0]).tolist():
+                sides = [_shingles(batch, c, words) for c in ("text", "item")]
+                for k in np.flatnonzero(counts == words):
+                    own, item = (np.unique(hashes[bounds[k] : bounds[k + 1]]) for hashes, bounds in sides)
+                    size[k] = len(item)
+                    shared[k] = np.isin(item, own, assume_unique=True).sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key_a", "key_b", "item_a", "item_b")), pa.array(shared), pa.array(size)], ["key_a", "key_b", "item_a", "item_b", "n_shared", "item_size"])
 
 
 def leaks(texts: DataFrame, items: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -95,16 +103,18 @@ def leaks(texts: DataFrame, items: DataFrame, folder: str) -> tuple[DataFrame, D
     and item_size of each text and item that it holds; and id, key_a and key_b of all rows that met any
     sample."""
     spark = texts.sparkSession
-    samples = stored(items.mapInArrow(_sampled, "item_a long, item_b long, hash long, item_size long, need long"), f"{folder}/samples")
+    samples = stored(items.mapInArrow(_sampled, "item_a long, item_b long, hash long, words long, item_size long, need long"), f"{folder}/samples")
     wanted = spark.sparkContext.broadcast(key_filter(samples.select("hash")))
+    lengths = sorted(r.words for r in samples.select("words").distinct().collect())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
-            hashes, bounds, _ = _shingles(batch, "text")
-            hit = np.flatnonzero(in_filter(wanted.value, hashes))
-            own = pa.array(np.searchsorted(bounds, hit, side="right") - 1)
-            size = pa.array(np.diff(bounds)).take(own)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("id", "key_a", "key_b")), size, pa.array(hashes[hit].view(np.int64))], ["id", "key_a", "key_b", "size", "hash"])
+            for words in lengths:
+                hashes, bounds = _shingles(batch, "text", words)
+                hit = np.flatnonzero(in_filter(wanted.value, hashes))
+                own = pa.array(np.searchsorted(bounds, hit, side="right") - 1)
+                size = pa.array(np.diff(bounds)).take(own)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("id", "key_a", "key_b")), size, pa.array(hashes[hit].view(np.int64))], ["id", "key_a", "key_b", "size", "hash"])
 
     keyed = texts.withColumns(text_keys(F.col("text")))
     kind = texts.schema["id"].dataType.simpleString()
@@ -138,8 +148,9 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return joined.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shared", "item_size", (F.col("n_shared") / F.col("item_size")).alias("containment"))
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text holds no benchmark item."""
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", folder: str | None = None, min_words: int = SHINGLE) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text holds no benchmark item of `min_words` words."""
     folder = folder or shared_dir(docs.sparkSession)
-    found, _ = leaks(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), _items(benchmark, item_text_col), folder)
+    long = F.size(F.regexp_extract_all(F.col(item_text_col), F.lit(r"[^\x20\x09-\x0D]+"), 0)) >= min_words
+    found, _ = leaks(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), _items(benchmark.where(long), item_text_col), folder)
     return without(docs, found.select("key_a", "key_b"), text_keys(F.col(text_col)))

@@ -123,12 +123,14 @@ ORACLE_SQL: dict[str, str] = {
         FROM n JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op9_decontamination": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-             e AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM w WHERE len(w) >= 3),
-             v AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-             i AS (SELECT item_id, {_SHINGLES} AS s FROM v WHERE len(w) >= 3),
-             u AS (SELECT item_id, len(s) AS item_size, unnest(s) AS g FROM i)
+             v AS (SELECT item_id, {_WORDS} AS w, least(len({_WORDS}), 3) AS k FROM benchmark),
+             i AS (SELECT item_id, k, CASE WHEN k < 3 THEN [array_to_string(w, ' ')] ELSE {_SHINGLES} END AS s FROM v WHERE k > 0),
+             u AS (SELECT item_id, k, len(s) AS item_size, unnest(s) AS g FROM i),
+             e AS (SELECT doc_id, 3 AS k, unnest({_SHINGLES}) AS g FROM w WHERE len(w) >= 3
+                   UNION ALL SELECT doc_id, 1, unnest(list_distinct(w)) FROM w WHERE EXISTS (SELECT 1 FROM i WHERE k = 1)
+                   UNION ALL SELECT doc_id, 2, unnest(list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) FROM w WHERE EXISTS (SELECT 1 FROM i WHERE k = 2))
         SELECT doc_id, item_id, count(*) AS n_shared, item_size, count(*) / item_size AS containment
-        FROM e JOIN u USING (g) GROUP BY doc_id, item_id, item_size HAVING 100 * count(*) >= 70 * item_size""",
+        FROM e JOIN u USING (k, g) GROUP BY doc_id, item_id, item_size HAVING 100 * count(*) >= 70 * item_size""",
     "op5_warc_round_trip": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
              d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),

@@ -7,9 +7,11 @@ from tests.llm.test_near_dedup import shingle_set, words
 def expected(docs, items):
     out = []
     for doc, text in docs:
-        own = shingle_set(text) if len(words(text)) >= 3 else set()
+        w = words(text)
+        runs = {size: {" ".join(w[k : k + size]) for k in range(len(w) - size + 1)} for size in (1, 2, 3)}
         for item, passage in items:
-            wanted = shingle_set(passage) if len(words(passage)) >= 3 else set()
+            wanted = shingle_set(passage)
+            own = runs[min(3, max(1, len(words(passage))))]
             if wanted and 100 * len(wanted & own) >= 70 * len(wanted):
                 out.append((doc, item, len(wanted & own), len(wanted)))
     return sorted(map(repr, out))
@@ -39,9 +41,21 @@ def test_equals_brute_force(spark, tmp_path):
     want = expected(docs, items)
     assert rows_of(found) == want and want
     dirty = {r.doc_id for r in found.collect()}
-    clean = decontamination.cleaned(frame, bench, folder=f"{tmp_path}/b")
+    clean = decontamination.cleaned(frame, bench, folder=f"{tmp_path}/b", min_words=1)
     assert clean.columns == frame.columns
     assert sorted(r.doc_id for r in clean.collect()) == [d for d, _ in docs if d not in dirty]
+    long = {d for d, i in ((r.doc_id, r.item_id) for r in found.collect()) if len(items[i][1].split()) >= 3}
+    assert dirty > long
+    clean = decontamination.cleaned(frame, bench, folder=f"{tmp_path}/c")
+    assert sorted(r.doc_id for r in clean.collect()) == [d for d, _ in docs if d not in long]
+
+
+def test_a_very_long_text(spark, tmp_path):
+    passage = " ".join(f"p{k}" for k in range(40))
+    long = " ".join(f"w{k % 9000}" for k in range(250_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage} {long}"), (2, long), (3, "t" * 1_000_000)], "doc_id long, text string")
+    found = decontamination.search(docs, spark.createDataFrame([(9, passage)], "item_id long, text string"), folder=f"{tmp_path}/a")
+    assert rows_of(found) == [repr((1, 9, 38, 38))]
 
 
 def test_defined_results(spark, tmp_path):
@@ -49,7 +63,8 @@ def test_defined_results(spark, tmp_path):
     docs = spark.createDataFrame([(1, passage), (1, passage), (None, f"x {passage}"), (2, None), (3, ""), (4, "one two")], "doc_id long, text string")
     items = spark.createDataFrame([(7, passage), (7, passage), (None, passage), (8, None), (9, ""), (10, "one two")], "item_id long, text string")
     found = decontamination.search(docs, items, folder=f"{tmp_path}/a")
-    assert rows_of(found) == sorted(map(repr, [(d, i, 4, 4) for d in (1, None) for i in (7, None)]))
+    short = [(d, 10, 1, 1) for d in (1, None, 4)]  # two words, found wherever they stand side by side
+    assert rows_of(found) == sorted(map(repr, [(d, i, 4, 4) for d in (1, None) for i in (7, None)] + short))
     clean = decontamination.cleaned(docs, items, folder=f"{tmp_path}/b")
     assert sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
     assert decontamination.search(docs.limit(0), items, folder=f"{tmp_path}/c").count() == 0
