@@ -6,8 +6,9 @@ harmless text and reported only where parts complete each other: each part is jo
 a paragraph, whose interval holds it, and a scope is a finding if it holds a secret together with an
 identifier or an endpoint. Strong spans take part in the join as identifiers and secrets.
 
-Text and offsets are those of the whole text, so there is no shuffle: the join runs over the sorted
-spans of one text at a time, with one binary search per span.
+Text and offsets are those of the whole text, so there is no shuffle: the join runs over the spans of
+one text at a time, with a binary search per span in the scopes and in the running maximum of the
+strong spans' ends.
 
 Defined results: null and empty texts have no spans; ids may be null or repeated, every row is
 scanned by itself; an empty table gives an empty result; texts of any length are scanned whole.
@@ -19,6 +20,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,8 +71,10 @@ def linked_spans(text: bytes, strong: list[Span]) -> list[Span]:
         role = "endpoint" if kind == 5 else "identifier" if kind in (1, 3) else "secret"
         roles.setdefault(bisect_right(cuts, start), set()).add(role)
     complete = {scope for scope, has in roles.items() if "secret" in has and len(has) > 1}
-    covered = [(a, b) for a, _, b in strong]
-    return [s for s in weak if bisect_right(cuts, s[0]) in complete and not any(a <= s[0] and s[2] <= b for a, b in covered)]
+    starts, ends = [a for a, _, _ in strong], list(accumulate((b for _, _, b in strong), max))
+    # inside of a strong span is what ends before one that doesn't begin later
+    inside = lambda a, b: (k := bisect_right(starts, a)) > 0 and b <= ends[k - 1]
+    return [s for s in weak if bisect_right(cuts, s[0]) in complete and not inside(s[0], s[2])]
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
