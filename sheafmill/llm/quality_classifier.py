@@ -257,11 +257,18 @@ def train(rows: np.ndarray, labels: np.ndarray) -> Model:
 def fit(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """The model of `rows` (id, features) by `labels` (id, label), without the held-out fold."""
     own = labels.where(~held_out(F.col("id")) & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
-    # of many labelled rows, only a share that is some larger than the sample is joined and sorted
-    share = min(1.0, 1.5 * train_rows / max(own.count(), 1))
-    own = own.where(F.shiftrightunsigned(F.xxhash64("id"), 32) < F.lit(int(share * 2**32)))
-    joined = rows.where("id is not null").join(own, "id").select("id", "label", "features")
-    sample = joined.orderBy(F.shiftrightunsigned(F.xxhash64("id"), 32), "id", F.col("features")).limit(train_rows).toPandas()
+    order = F.shiftrightunsigned(F.xxhash64("id"), 32)
+    # rows are counted by their ids alone; of many, only a share of the ids is joined with features and
+    # sorted, which is doubled where rows of one id leave it too small
+    known = rows.where("id is not null").select("id").join(own.select("id"), "id").count()
+    share = min(1.0, 1.5 * train_rows / max(known, 1))
+    while True:
+        some = own.where(order < F.lit(int(share * 2**32)))
+        joined = rows.where("id is not null").where(order < F.lit(int(share * 2**32))).join(some, "id").select("id", "label", "features")
+        sample = joined.orderBy(order, "id", F.col("features")).limit(train_rows).toPandas()
+        if share == 1 or len(sample) >= train_rows:
+            break
+        share = min(1.0, 2 * share)
     table = np.stack(sample["features"].to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, len(FEATURES)), np.float32)
     return train(table, sample["label"].to_numpy(float))
 
