@@ -118,9 +118,10 @@ ORACLE_SQL: dict[str, str] = {
              m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id),
              f AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
              q AS (SELECT doc_id, n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM f GROUP BY ALL),
-             k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h, n) AS class_id FROM q)
-        SELECT n.doc_id, n.n AS n_shingles, coalesce(class_id, n.doc_id) AS class_id, component_id, n.doc_id = component_id AS kept
-        FROM n JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)""",
+             k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h, n) AS class_id FROM q),
+             t AS (SELECT x.class_id, count(*) AS n_links FROM d JOIN k x ON x.doc_id = d.a AND x.class_id = d.a JOIN k y ON y.doc_id = d.b AND y.class_id = d.b GROUP BY ALL)
+        SELECT n.doc_id, n.n AS n_shingles, coalesce(k.class_id, n.doc_id) AS class_id, component_id, n.doc_id = component_id AS kept, coalesce(n_links, 0) AS n_links
+        FROM n JOIN m USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN t ON t.class_id = k.class_id""",
     "op9_decontamination": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
              v AS (SELECT item_id, {_WORDS} AS w, least(len({_WORDS}), 3) AS k FROM benchmark),

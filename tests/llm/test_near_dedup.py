@@ -41,7 +41,9 @@ def expected(rows):
     smallest = {}
     for k, (doc, _) in enumerate(rows):
         smallest[root(k)] = min(doc, smallest.get(root(k), doc))
-    return {doc: (len(sets[k]), smallest[root(k)], doc == smallest[root(k)]) for k, (doc, _) in enumerate(rows)}
+    classes = set(map(frozenset, sets))
+    near = lambda s: sum(s != t and bool(s) and 100 * len(s & t) >= 85 * len(s | t) for t in classes)
+    return {doc: (len(sets[k]), smallest[root(k)], doc == smallest[root(k)], near(sets[k])) for k, (doc, _) in enumerate(rows)}
 
 
 def corpus(seed):
@@ -64,19 +66,20 @@ def corpus(seed):
 def test_equals_all_pairs(spark, seed, tmp_path):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, size int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.find(docs, folder=f"{tmp_path}/f").collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept, r.n_links) for r in near_dedup.find(docs, folder=f"{tmp_path}/f").collect()}
     assert got == expected(rows)
 
 
 def test_blocks_split_a_hot_bucket(spark, tmp_path, monkeypatch):
     """Chains of near copies, of which no one is like all, in buckets of more than one block."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 900)
     base, rows = [f"v{k}" for k in range(150)], []
     for k in range(40):
         rows.append((1000 - k, " ".join(base)))
         base[(k * 3) % 150] = f"n{k}"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.find(docs, folder=f"{tmp_path}/f").collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept, r.n_links) for r in near_dedup.find(docs, folder=f"{tmp_path}/f").collect()}
     assert got == expected(rows)
 
 
@@ -90,6 +93,36 @@ def test_defined_results(spark, tmp_path):
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, "a b c", "x"), (None, "a b c", "z")]))
 
 
+def test_common_members_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_COLUMNS", 16)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 40, 200, 500, 90)]
+    got = near_dedup._common(sets, sets[2:])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets[2:]] for a in sets]
+    assert near_dedup._common(sets[:1], sets[:1]).tolist() == [[0]]
+
+
+def test_a_stray_in_a_hot_bucket_costs_a_comparison_a_member(spark, monkeypatch):
+    """Members of one component aren't compared with each other again."""
+    n = 5000
+    members = spark.range(n + 2).selectExpr("7L AS key", "id")
+    marks = spark.range(n + 2).selectExpr("id", "100L AS size", "cast(repeat('a', 64) AS binary) AS sketch")
+    comps = spark.range(1, n).selectExpr("id", "0L AS comp")
+    groups = near_dedup.rest_pairs(members, marks, comps, "bigint")
+    assert groups.count() == 2 * n + 1  # all sketches are equal, so every pair compared is a pair found
+
+
+def test_repeated_ids_keep_their_own_sets(spark, tmp_path):
+    base = [f"w{k}" for k in range(200)]
+    near = " ".join([*base[:100], "new", *base[101:]])
+    rows = [(5, " ".join(base))] * 30 + [(5, "quite another text of its own")] * 30 + [(6, near), (7, " ".join([*base[:50], "x", *base[51:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.find(docs, folder=f"{tmp_path}/f").distinct().collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in found) == [(5, 5, 0), (5, 5, 2), (6, 5, 2), (7, 5, 2)]
+    assert near_dedup.deduplicated(docs, folder=f"{tmp_path}/g").count() == 1
+    assert sorted(map(tuple, near_dedup.links(docs, folder=f"{tmp_path}/h").collect())) == [(5, 6), (5, 7), (6, 7)]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     for share in (0.7, 0.85, 0.95):
