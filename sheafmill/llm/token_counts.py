@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import shared_dir, stored, text_batches
+from .common import shared_dir, spread, stored, text_batches
 from .files import opened
 
 #: Bytes of a block; documents may span any number of them.
@@ -91,7 +91,8 @@ def scan(files: DataFrame, eod: int, dtype: str = "<u2", block_bytes: int = BLOC
             yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("file", "start", "size")}, "ends": ends})
 
     folder = folder or shared_dir(files.sparkSession)
-    found = _blocks(files, width, block_bytes).repartition("file", "start").mapInArrow(run, "file string, start long, size long, ends array<long>")
+    sized = stored(_blocks(files, width, block_bytes), f"{folder}/sizes")
+    found = spread(sized, sized.count(), "file", "start").mapInArrow(run, "file string, start long, size long, ends array<long>")
     blocks = stored(found, f"{folder}/blocks")
     order = Window.partitionBy("file").orderBy("start")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
