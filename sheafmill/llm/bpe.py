@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-LEAF = 1 << 14
+LEAF = 1 << 10
 #: A run of solid or of white characters from this length on is split within its pieces.
 LONG = 1 << 11
 #: Bytes of one piece that are merged directly, and tokens of the first window that joins two such.
@@ -167,7 +167,7 @@ class Codec:
     # -- decoding --------------------------------------------------------------------------
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the ids: leaves of LEAF ids, concatenated level by level."""
+        """The bytes of the ids: leaves of LEAF ids, concatenated up the tree, level by level."""
         level = [self._bytes(ids[at : at + LEAF]) for at in range(0, len(ids), LEAF)] or [b""]
         while len(level) > 1:
             level = [b"".join(level[at : at + 2]) for at in range(0, len(level), 2)]
