@@ -85,6 +85,15 @@ def adaptive_batches(lines: DataFrame, group: str = "lang", id_col: str = "line_
     return placed.join(widest, [group, "batch_id"]).select(*lines.columns, "batch_id", "padded_w")
 
 
+def sorted_chunks(rows: DataFrame, order: str, key: str, size: int, name: str = "chunk_id") -> DataFrame:
+    """`rows` with the number of their chunk of `size` rows in order of `order`, a number that may be any
+    share of the rows', and `key`, which is unique; null counts as 0."""
+    filled = rows.withColumn("__order", F.coalesce(F.col(order).cast("double"), F.lit(0.0)))
+    starts = running_sum(filled.groupBy("__order").agg(F.count("*").alias("__n")), "__order", F.col("__n"), "__before")
+    ranked = row_rank(filled, key, "__rank", ("__order",)).join(starts.select("__order", "__before"), "__order")
+    return ranked.select(*rows.columns, F.floor((F.col("__before") + F.col("__rank")) / size).alias(name))
+
+
 def fixed_chunks(rows: DataFrame, key: str, size: int, name: str = "chunk_id") -> DataFrame:
     """`rows` with the number of their chunk of `size` rows in order of `key`."""
     ranked = row_rank(rows, key, "__rank")

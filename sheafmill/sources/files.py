@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators import prefix
 
 #: A renderer takes (path, content or None, first page, last page) and gives an image and, if it can,
 #: the characters of each page.
@@ -23,8 +24,7 @@ PAGE_SCHEMA = "path string, page_index int, image binary, chars string"
 def documents(spark: SparkSession, target: str, content: bool = False) -> DataFrame:
     """doc_index, path, name and length of the PDF files below a folder, ordered by path, or of one
     file, whose suffix may be in any case; without `content` no file is opened. A target that is
-    neither gives an empty result. Spark lists files on the driver, so the paths alone, which one task
-    sorts here, are no more than that has held already."""
+    neither gives an empty result."""
     columns = ["path", "length", *(["content"] if content else [])]
     known = os.path.isdir(target) or "://" in target
     if not known and not (os.path.isfile(target) and target.lower().endswith(".pdf")):
@@ -32,7 +32,8 @@ def documents(spark: SparkSession, target: str, content: bool = False) -> DataFr
     else:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
         rows = (reader.option("pathGlobFilter", "*.pdf") if known else reader).load(target).select(columns)
-    ranked = rows.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_index"))
+    paths = rows.select("path")
+    ranked = prefix.row_rank(paths, "path", "doc_index", place=prefix.text_place(paths, "path"))
     return rows.join(ranked, "path").select("doc_index", "path", text.stem(F.col("path")).alias("name"), *columns[1:])
 
 
