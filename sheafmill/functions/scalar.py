@@ -160,6 +160,21 @@ def batch_size(ratio: Column, base: int, most: Column | int | None = None) -> Co
     return F.greatest(F.lit(1), wanted if most is None else F.least(F.lit(most) if isinstance(most, int) else most, wanted))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double's exact binary value rounded to decimal places, ties to even, as printing it with that
+    many places does: 0.295, which is a little less than that, gives 0.29. The product's own rounding
+    error decides where the product looks like a tie, so all stays inside generated code."""
+    factor = F.lit(float(10**places))
+    product, spread = x * factor, x * F.lit(134217729.0)
+    high = spread - (spread - x)
+    error = (high * factor - product) + (x - high) * factor
+    whole = F.rint(product)
+    gap = product - whole
+    moved = F.when((gap == 0.5) & (error > 0), whole + 1).when((gap == -0.5) & (error < 0), whole - 1).otherwise(whole)
+    # larger ones have no such places; infinite ones and those that aren't numbers stay
+    return F.when(F.abs(x) < 1e12, moved / factor).otherwise(x)
+
+
 def finite_score(text: Column, score: Column) -> Column:
     """Recognised text and score; a score that isn't a number is 0."""
     return F.struct(text.alias("text"), F.nanvl(score, F.lit(0.0)).alias("score"))

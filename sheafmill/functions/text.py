@@ -94,11 +94,13 @@ def flag_text(flag: Column) -> Column:
 
 
 def equations_of(document: str | None) -> list[str]:
-    """Contents of equation nodes of a JSON document, before those of its children, keys in order."""
-    if document is None:
-        return []
+    """Contents of equation nodes of a JSON document, before those of its children, keys in order; none
+    for null and for what isn't JSON."""
+    try:
+        waiting = [json.loads(document)] if document is not None else []
+    except (ValueError, RecursionError):
+        waiting = []
     found: list[str] = []
-    waiting = [json.loads(document)]
     while waiting:
         node = waiting.pop()
         if isinstance(node, dict):
@@ -111,7 +113,8 @@ def equations_of(document: str | None) -> list[str]:
 
 
 def equations(document: Column) -> Column:
-    """The equations of a JSON document as `equations_of` orders them; none for null."""
+    """The equations of a JSON document as `equations_of` orders them. Spark's own parsers don't keep the
+    order of keys, so documents are parsed in Python, an Arrow batch at a time."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def walk(documents: pd.Series) -> pd.Series:

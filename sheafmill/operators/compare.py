@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: The largest difference that an export is accepted with.
 TOLERANCE = 1e-3
 
 
 def differing_lines(a: Column, b: Column) -> Column:
     """How many lines of two texts differ by position, lines that only one has included; null if a
-    text is missing, 0 if they are equal."""
-    left, right = F.split(a, "\n"), F.split(b, "\n")
+    text is missing, 0 if they are equal. A line end at the end of a text begins no further line."""
+    left, right = text.lines(a), text.lines(b)
     both = F.least(F.size(left), F.size(right))
     unequal = F.zip_with(F.slice(left, 1, both), F.slice(right, 1, both), lambda x, y: F.when(x == y, 0).otherwise(1))
     count = F.aggregate(unequal, F.lit(0), lambda n, x: n + x) + F.abs(F.size(left) - F.size(right))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalar
 
@@ -15,6 +13,11 @@ FORMULAS = ("display_formula", "inline_formula")
 DET_ALGORITHMS, REC_ALGORITHMS = ("DB", "DB++"), ("CRNN", "SVTR_LCNet", "SVTR_HGNet")
 
 
+def known_algorithm(kind: Column, algorithm: Column) -> Column:
+    """Whether a detector's or recogniser's algorithm is one that the batch stages can take."""
+    return ((kind == "det") & algorithm.isin(*DET_ALGORITHMS)) | ((kind == "rec") & algorithm.isin(*REC_ALGORITHMS))
+
+
 def formulas(items: DataFrame) -> DataFrame:
     return items.where(F.col("label").isin(*FORMULAS)).withColumn("latex", F.coalesce("latex", F.lit("")))
 
@@ -49,18 +52,14 @@ def without_noise(items: DataFrame, least: float) -> DataFrame:
 
 
 def as_ocr_text(items: DataFrame, ocr_enable: Column) -> DataFrame:
-    """Items as recognised text: a fixed score where recognition is on, else the score to two places."""
-    return items.withColumns({"label": F.lit("ocr_text"), "score": F.when(ocr_enable, F.lit(1.0)).otherwise(F.bround("score", 2))})
+    """Items as recognised text: a fixed score where recognition is on, else the score, a double, to two
+    places by its binary value."""
+    return items.withColumns({"label": F.lit("ocr_text"), "score": F.when(ocr_enable, F.lit(1.0)).otherwise(scalar.rounded(F.col("score"), 2))})
 
 
 def three_places(score: Column) -> Column:
     """The score as its decimal print with three places reads."""
-
-    @F.pandas_udf(T.DoubleType())
-    def cut(scores: pd.Series) -> pd.Series:
-        return scores.map(lambda s: float(f"{s:.3f}"), na_action="ignore")
-
-    return cut(score)
+    return scalar.rounded(score, 3)
 
 
 def seals(items: DataFrame, texts: str = "seal_texts") -> DataFrame:

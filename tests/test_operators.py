@@ -63,10 +63,11 @@ def test_tables_gather_their_lines(spark):
 def test_line_diff_equals_the_formula(spark):
     rng = random.Random(2)
     texts = ["\n".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(200)]
-    pairs = [(k, texts[k], texts[-k - 1]) for k in range(200)] + [(200, None, "a"), (201, "", ""), (202, "a\n", "a")]
+    ends = ["", "\n", "\r\n", "\n\n", "\x0b", "\x85", "\u2028", "\r"]
+    pairs = [(k, texts[k] + rng.choice(ends), rng.choice(ends) + texts[-k - 1]) for k in range(200)] + [(200, None, "a"), (201, "", ""), (202, "a\n", "a"), (203, "", "a"), (204, "\n", "")]
     got = {r.k: r.n for r in spark.createDataFrame(pairs, "k int, a string, b string").select("k", compare.differing_lines(F.col("a"), F.col("b")).alias("n")).collect()}
     for k, a, b in pairs:
-        x, y = (a or "").split("\n"), (b or "").split("\n")
+        x, y = (a or "").splitlines(), (b or "").splitlines()
         assert got[k] == (None if a is None else sum(p != q for p, q in zip(x, y)) + abs(len(x) - len(y)))
 
 
@@ -86,6 +87,13 @@ def test_run_summary_of_nothing(spark):
     assert tuple(reports.run_summary(runs).first()) == (0, 0, 0.0, 0.0, 0.0)
 
 
+def test_rounding_is_that_of_the_binary_value(spark):
+    rng = random.Random(3)
+    values = [k / 1000 for k in range(-50, 1001)] + [k / 10_000 + 5e-5 for k in range(2000)] + [rng.uniform(-9, 9) for _ in range(500)] + [0.125, 0.375, 2.5, 1e15 + 0.3, -0.0, float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", scalar.rounded(F.col("x"), 2).alias("two"), scalar.rounded(F.col("x"), 3).alias("three")).collect()
+    assert [(r.two, r.three) for r in rows] == [(round(v, 2), float(f"{v:.3f}")) for v in values]
+
+
 def test_decoder_pads_and_ends():
     hidden = np.array([[3.0], [1.0], [6.0]])
     ids = models.greedy_decode(hidden, models.stub_step(), eos=1, pad=99, max_len=10, max_batch=2)
