@@ -113,17 +113,34 @@ def random64(n: int, seed: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Keys of a table of counts that is sent to all tasks: it grows with the input up to some 100 MB.
+TABLE_KEYS = 1 << 21
+
+
+def frequent(counts: DataFrame, n: Column, most: int = TABLE_KEYS) -> Column:
+    """A condition that the rows with the largest `n` (1 at least) meet, all of them if there are no more
+    than `most`, else those from the lowest eighth of a power of two on that leaves no more than that."""
+    level = F.floor(F.log2(n) * 8)
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total = np.cumsum([n for _, n in sizes])
+    if not len(total) or total[-1] <= most:
+        return F.lit(True)
+    return level > sizes[int(np.searchsorted(total, most, side="right"))][0]
+
+
 class KeyTable:
     """Rows of numbers by distinct 64-bit keys, exactly, for lookups of many keys at once: open
-    addressing with at least two slots a key, so that the table grows with its keys."""
+    addressing with at least two slots a key, so that the table grows with its keys. Keys that aren't in
+    it share the rows of `pool` by hash, a power of two of them, if there are any."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray, pool: np.ndarray | None = None) -> None:
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
         self.keys = np.append(keys.astype(np.uint64), np.uint64(0))
-        #: One row more than there are keys: that of all keys that aren't in the table.
-        self.values = np.concatenate([values, np.zeros_like(values, shape=(1, *values.shape[1:]))])
+        self.pool = 0 if pool is None else len(pool)
+        #: One row more than there are keys and pool rows: without a pool, that of all other keys.
+        self.values = np.concatenate([values, *([] if pool is None else [pool]), np.zeros_like(values, shape=(1, *values.shape[1:]))])
         left, at = np.arange(len(keys), dtype=np.int32), self._home(self.keys[:-1])
         while len(left):
             free = self.slots[at] < 0
@@ -134,8 +151,12 @@ class KeyTable:
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (mix64(keys) >> self.shift).astype(np.int64)
 
+    @staticmethod
+    def pool_of(keys: np.ndarray, size: int) -> np.ndarray:
+        return (mix64(keys.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key in `values`; -1, the last, for keys that aren't there."""
+        """The row of each key in `values`; for keys that aren't there that of the pool, or -1, the last."""
         at = self._home(keys)
         row = self.slots[at]
         wrong = np.flatnonzero((self.keys[row] != keys) & (row >= 0))
@@ -143,6 +164,9 @@ class KeyTable:
             at[wrong] = (at[wrong] + 1) & self.mask
             row[wrong] = found = self.slots[at[wrong]]
             wrong = wrong[(self.keys[found] != keys[wrong]) & (found >= 0)]
+        if self.pool:
+            other = np.flatnonzero(row < 0)
+            row[other] = len(self.keys) - 1 + self.pool_of(keys[other], self.pool)
         return row
 
 

@@ -1,13 +1,17 @@
 """Quality rules: word and line rules, then an n-gram log-likelihood ratio.
 
-Two multinomials over byte 4-grams are counted exactly: one over every document (raw), one over the
-trusted documents (target). A document's score is the sum over its 4-grams of log p_target - log p_raw,
-divided by their number plus `PRIOR`. Both sides are smoothed in proportion to their size, so that a gram
-that was hardly seen says little. A document is kept if no base rule fails and its score reaches a
-threshold that at most `FALSE_REJECTS` of the trusted documents are below, each scored without its own
-counts in the target. Counting all documents and judging are narrow; what moves is the trusted texts,
-joined to their ids by shuffle, one row per task and gram, summed by gram, and the table of all grams,
-which goes back to the tasks and grows with the distinct grams of the corpus.
+Two multinomials over byte 4-grams are counted: one over every document (raw), one over every trusted
+document (target). A document's score is the sum over its 4-grams of log p_target - log p_raw, divided by
+their number plus `PRIOR`. Both sides are smoothed in proportion to their size, so that a gram that was
+hardly seen says little. A document is kept if no base rule fails and its score reaches a threshold that
+at most `FALSE_REJECTS` of the trusted documents are below, each scored without its own counts in the
+target.
+
+Grams are counted by key in a table on the shared folder that grows with the corpus. The most frequent
+TABLE_KEYS of them go to the tasks as they are; should there be more, the rest is hashed to POOL buckets,
+which go along, so that every gram is counted and what is sent has a bound. Counting all documents and
+judging are narrow. Trusted ids go to the documents if they are few enough by count; more of them
+meet the documents by shuffle, behind a filter.
 
 Defined results: null and empty texts have zero in every count and fail the base rule of ten
 words; a null id stays null; repeated rows are judged alike, each by itself; an empty table gives
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyTable, key_filter, may_be_in, mix64, random64, text_batches, utf8
+from .common import BROADCAST_KEYS, TABLE_KEYS, KeyTable, frequent, key_filter, may_be_in, mix64, random64, shared_dir, stored, text_batches, utf8
 from .words import Words, span_hashes
 
 GRAM = 4
@@ -36,6 +40,8 @@ PRIOR = 32
 FALSE_REJECTS = 0.005
 #: Bins a nat for the threshold, which spans -LIMIT to LIMIT nats a gram.
 FINE, LIMIT = 1000, 16
+#: Buckets that rare grams share.
+POOL = 1 << 16
 #: Rows of counts that a task holds before it merges them.
 HELD = 1 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -142,13 +148,13 @@ class Model(NamedTuple):
     threshold: float
 
 
-def _chosen(rows: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows whose id is in the one column of `trusted`; only rows that pass a filter of the ids
-    are shuffled, with their texts, and none are left out."""
+def _chosen(rows: DataFrame, trusted: DataFrame, folder: str) -> DataFrame:
+    """The texts of rows whose id is in the one column of `trusted`, none left out."""
     ids = trusted.select(F.col(trusted.columns[0]).cast(rows.schema["id"].dataType).alias("id")).where("id is not null").distinct()
+    if ids.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(ids), "id", "left_semi").select("text")
     maybe = may_be_in(key_filter(ids.select(F.xxhash64("id"))), F.xxhash64("id"), rows.sparkSession)
-    # the ids grow with the input, so they are never broadcast, however small their files look
-    return rows.where(maybe).join(ids.hint("merge"), "id", "left_semi")
+    return stored(rows.where(maybe).join(ids.hint("merge"), "id", "left_semi").select("text"), f"{folder}/trusted")
 
 
 def _without_own(batch: pa.RecordBatch, table: KeyTable, raw: float, target: float) -> np.ndarray:
@@ -165,18 +171,44 @@ def _without_own(batch: pa.RecordBatch, table: KeyTable, raw: float, target: flo
     return np.bincount(text, own * ratio, minlength=batch.num_rows) / (n + PRIOR)
 
 
-def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", false_rejects: float = FALSE_REJECTS) -> Model:
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((2, POOL))
+    for batch in batches:
+        bucket = KeyTable.pool_of(batch.column("gram").to_numpy(), POOL)
+        for total, c in zip(sums, ("raw", "target")):
+            total += np.bincount(bucket, batch.column(c).to_numpy(), minlength=POOL)
+    at = np.flatnonzero(sums[0] + sums[1])
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "raw": pa.array(sums[0, at]), "target": pa.array(sums[1, at])})
+
+
+def _table(counts: DataFrame, most: int) -> KeyTable:
+    """raw and target of each gram; beyond `most` of them, of rare ones by bucket."""
+    known = frequent(counts, F.col("raw") + F.col("target"), most)
+    rows = counts.where(known).toArrow()
+    keys = np.append(rows["gram"].to_numpy().astype(np.uint64), np.uint64(NO_GRAM))
+    values = np.stack([np.append(rows[c].to_numpy(), 0) for c in ("raw", "target")], axis=1).astype(np.float64)
+    rest = counts.where(~known)
+    if not rest.take(1):
+        return KeyTable(keys, values)
+    sums = rest.mapInArrow(_pooled, "bucket int, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    pool = np.zeros((POOL, 2))
+    pool[sums["bucket"].to_numpy()] = np.stack([sums["raw"].to_numpy(), sums["target"].to_numpy()], axis=1)
+    return KeyTable(keys, values, pool)
+
+
+def fit(docs: DataFrame, trusted: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", false_rejects: float = FALSE_REJECTS, most: int = TABLE_KEYS, folder: str | None = None) -> Model:
     """The log ratio of each gram, from all of `docs` and from all of those whose id is in `trusted`
     (a DataFrame of one column of ids), and the threshold."""
+    folder = folder or shared_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     none = F.lit(0).cast("long")
     counts = rows.select("text").mapInArrow(_count, "gram long, n long").select("gram", F.col("n").alias("raw"), none.alias("target"))
     chosen = None
     if trusted is not None:
-        chosen = _chosen(rows, trusted).select("text")
+        chosen = _chosen(rows, trusted, folder)
         counts = counts.union(chosen.mapInArrow(_count, "gram long, n long").select("gram", none, "n"))
-    counts = counts.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    table = KeyTable(counts.pop("gram").to_numpy(np.uint64), counts.to_numpy(np.float64))
+    counts = stored(counts.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), f"{folder}/grams")
+    table = _table(counts, most)
     raw, target = table.values.sum(axis=0)
     ratio = copy.copy(table)
     if not target:

@@ -66,13 +66,63 @@ def test_rules_count_every_trusted_document(spark):
     assert quality_rules.judge(docs, model).where("abs(score) > 1e-9").count() == 0
 
 
+def plain_judgement(docs, trusted):
+    """Scores and threshold by counting every gram in dictionaries."""
+    grams = lambda t: [t.encode()[k : k + 4] for k in range(len(t.encode()) - 3)]
+    raw, target = collections.Counter(), collections.Counter()
+    for doc, text in docs:
+        raw.update(grams(text or ""))
+        if doc in trusted:
+            target.update(grams(text or ""))
+    share = sum(target.values()) / sum(raw.values())
+    score = {}
+    for doc, text in docs:
+        own = grams(text or "")
+        score[doc] = sum(np.log((target[g] + 1) / (raw[g] * share + 1)) for g in own) / (len(own) + quality_rules.PRIOR)
+    held = []
+    for doc, text in docs:
+        if doc in trusted and text:
+            own = collections.Counter(grams(text))
+            n = sum(own.values())
+            part = (sum(target.values()) - n) / sum(raw.values())
+            held.append(np.floor(1000 * sum(k * np.log((target[g] - k + 1) / (raw[g] * part + 1)) for g, k in own.items()) / (n + quality_rules.PRIOR)))
+    below = [b for b in held if sum(x < b for x in held) <= quality_rules.FALSE_REJECTS * len(held)]
+    return score, max(below) / 1000
+
+
+def test_scores_and_threshold_equal_plain_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    trusted = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    score, threshold = plain_judgement(rows, {r.doc_id for r in trusted.collect()})
+    model = quality_rules.fit(docs, trusted)
+    assert abs(model.threshold - threshold) < 1e-9
+    for r in quality_rules.judge(docs, model).collect():
+        assert abs(r.score - score[r.doc_id]) < 1e-9 and r.kept == (not r.base_failed and r.score >= threshold)
+
+
+def test_rare_grams_share_buckets_in_a_bounded_table(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    trusted = labels.where("quality = 1").select("doc_id")
+    whole = quality_rules.fit(docs, trusted)
+    small = quality_rules.fit(docs, trusted, most=3000)
+    assert len(small.table.keys) <= 3002 < len(whole.table.keys) and small.table.pool == quality_rules.POOL
+    rows = quality_rules.judge(docs, small).join(labels, "doc_id").select("kept", "quality").collect()
+    clean, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean(clean) > 0.98 and np.mean(junk) < 0.1
+    # trusted ids that are too many to be sent meet the documents by shuffle, to the same end
+    monkeypatch.setattr(quality_rules, "BROADCAST_KEYS", 0)
+    again = quality_rules.fit(docs, trusted)
+    assert again.threshold == whole.threshold and np.allclose(np.sort(again.table.values), np.sort(whole.table.values))
+
+
 def test_rules_tell_junk_among_many_grams(spark):
     rng = np.random.default_rng(3)
     clean, junk = list("abcdefghijklmnopqrstuvwxyz12345 "), list("ABCDEFGHIJKLMNOPQRSTUVWXYZ67890 ")
     texts = ["".join(rng.choice(letters, 600)) for letters in (clean, junk) for _ in range(2000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = quality_rules.fit(docs, docs.where("doc_id < 1000").select("doc_id"))
-    assert len(model.table.keys) == 1 + len({t[k : k + 4] for t in texts for k in range(597)}) > 1 << 19
+    assert len(model.table.keys) == 2 + len({t[k : k + 4] for t in texts for k in range(597)}) > 1 << 19
     kept = {r.doc_id for r in quality_rules.judge(docs, model).where("kept").collect()}
     passed = {r.doc_id for r in quality_rules.judge(docs, model).where("not base_failed").collect()}
     assert len(kept & set(range(1000, 2000))) > 0.97 * len(passed & set(range(1000, 2000)))
