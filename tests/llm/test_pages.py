@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sheafmill.llm import common, files, url_filters, warc
+from sheafmill.llm import common, files, queries, url_filters, warc
 
 RULES = [url_filters.Rule("block", "com", "/en/"), url_filters.Rule("allow", "example.com", "/en/7"), url_filters.Rule("block", "org", "")]
 
@@ -124,8 +124,28 @@ def test_models_tell_urls_apart(spark):
     rows = url_filters.judge(spark.createDataFrame(fresh, "page_id long, url string"), [], model).collect()
     assert np.mean([r.verdict == "block" for r in rows if r.page_id >= 200]) > 0.98
     assert np.mean([r.verdict == "block" for r in rows if r.page_id < 200]) < 0.03
+    assert model.caught > 0.98 and model.false_blocks <= url_filters.FALSE_BLOCKS
     one = url_filters.fit(spark.createDataFrame(good, "url string, rejected boolean"))
     assert one.threshold == np.inf
+    # a bounded table keeps what is frequent, and tells these apart as well
+    small = url_filters.fit(spark.createDataFrame(good + bad, "url string, rejected boolean"), most=2000)
+    assert len(small.table.keys) <= 2001 < len(model.table.keys) and small.caught > 0.95
+
+
+def test_held_out_rates_on_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    known = url_filters.ruled(pages, queries.URL_RULES).selectExpr("url", "verdict = 'block' AS rejected")
+    model = url_filters.fit(known)
+    assert model.caught >= 0.9 and model.false_blocks <= url_filters.FALSE_BLOCKS
+
+
+def test_rows_of_any_kind(spark):
+    """Null and repeated ids, repeated, null, empty and very long URLs."""
+    long = "http://a.example/" + "q" * 300_000
+    rows = [(None, "http://x.com/en/1"), (1, "http://x.com/en/1"), (1, "http://x.com/en/1"), (2, None), (3, ""), (4, long), (5, "http://example.com/en/7x")]
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.rule or "") for r in got) == sorted([(0, "x.com", 5, "com/en/"), *[(1, "x.com", 5, "com/en/")] * 2, (2, "", 0, ""), (3, "", 0, ""), (4, "a.example", 300_001, ""), (5, "example.com", 6, "example.com/en/7")])
+    assert all(np.isfinite(r.score) for r in got) and {r.verdict for r in got if r.page_id in (2, 3)} == {"allow"}
 
 
 def test_models_count_exactly(spark):
@@ -164,6 +184,8 @@ def test_key_table_finds_all_keys_and_no_others():
     table = common.KeyTable(known, np.arange(len(known)))
     assert (table.find(known) == np.arange(len(known))).all() and (table.find(keys[1::2]) == -1).all()
     assert common.KeyTable(keys[:0], np.zeros((0, 2))).find(keys[:3]).tolist() == [-1, -1, -1]
+    pooled = common.KeyTable(known, np.arange(len(known)), np.full(64, -7))
+    assert (pooled.values[pooled.find(known)] == np.arange(len(known))).all() and (pooled.values[pooled.find(keys[1::2])] == -7).all()
 
 
 def test_unruled_urls_like_rejected_ones_are_blocked(spark):
