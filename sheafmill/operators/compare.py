@@ -14,11 +14,15 @@ TOLERANCE = 1e-3
 def differing_lines(a: Column, b: Column) -> Column:
     """How many lines of two texts differ by position, lines that only one has included; null if a
     text is missing, 0 if they are equal. A line end at the end of a text begins no further line."""
-    left, right = text.lines(a), text.lines(b)
-    both = F.least(F.size(left), F.size(right))
-    unequal = F.zip_with(F.slice(left, 1, both), F.slice(right, 1, both), lambda x, y: F.when(x == y, 0).otherwise(1))
-    count = F.aggregate(unequal, F.lit(0), lambda n, x: n + x) + F.abs(F.size(left) - F.size(right))
-    return F.when(a.isNull() | b.isNull(), None).when(a == b, 0).otherwise(count)
+
+    def count(pair: Column) -> Column:
+        # the shorter list is filled up with nulls, which equal no line
+        same = F.zip_with(pair["left"], pair["right"], lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.size(F.filter(same, lambda s: ~s))
+
+    # as a variable of a function, the lists of lines are made once and not at each use
+    pair = F.array(F.struct(text.lines(a).alias("left"), text.lines(b).alias("right")))
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 0).otherwise(F.transform(pair, count)[0])
 
 
 def verdict(a: Column, b: Column) -> Column:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import windows
+
 #: A model takes a batch of rows and returns as many, in order.
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 Loader = Callable[[], Model]
@@ -50,14 +52,20 @@ def chunked(rows: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
         yield rows.iloc[at : at + size]
 
 
+def _ready(key: Any, loader: Loader, warm_up: pd.DataFrame | None) -> Model:
+    """The worker's model, warmed up when it is first loaded."""
+    fresh = key not in _loaded
+    model = loaded(key, loader)
+    if fresh and warm_up is not None:
+        model(warm_up)
+    return model
+
+
 def apply_model(df: DataFrame, key: Any, loader: Loader, schema: str, batch: int = 64, warm_up: pd.DataFrame | None = None) -> DataFrame:
     """`df` through a model in chunks of `batch` rows; a worker warms its model up once if asked to."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fresh = key not in _loaded
-        model = loaded(key, loader)
-        if fresh and warm_up is not None:
-            model(warm_up)
+        model = _ready(key, loader, warm_up)
         for frame in frames:
             for part in chunked(frame, batch):
                 out = model(part)
@@ -68,13 +76,40 @@ def apply_model(df: DataFrame, key: Any, loader: Loader, schema: str, batch: int
     return df.mapInPandas(run, schema)
 
 
-def apply_in_batches(df: DataFrame, keys: Sequence[str], key: Any, loader: Loader, schema: str) -> DataFrame:
-    """`df` through a model with one call per batch of equal `keys`, such as batches under a budget."""
+def apply_in_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], key: Any, loader: Loader, added: str, warm_up: pd.DataFrame | None = None) -> DataFrame:
+    """`df` with the columns `added` that a model gives, one call per batch of equal `keys`, whose rows it
+    sees in `order`. Batches are sorted within tasks and cut there; one that goes on in the next Arrow frame
+    is carried over. The number of tasks is given, as a few bytes may stand for much work."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f.split()[0] for f in added.split(", ")]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return loaded(key, loader)(frame)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _ready(key, loader, warm_up)
+
+        def done(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            parts = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                parts.append(model(rows.iloc[a:b]))
+                if len(parts[-1]) != b - a:
+                    raise ValueError(f"{key}: {len(parts[-1])} results for {b - a} rows")
+            out = pd.concat(parts, ignore_index=True)
+            return rows.reset_index(drop=True).assign(**{n: out[n] for n in names})
+
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(rows):
+                continue
+            codes = np.stack([pd.factorize(rows[k])[0] for k in keys])  # a null is a batch key of its own
+            cuts = np.flatnonzero(np.append(True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)))
+            if len(cuts) > 1:
+                yield done(rows.iloc[: cuts[-1]], cuts)
+            held = rows.iloc[cuts[-1] :]
+        if held is not None and len(held):
+            yield done(held, np.array([0, len(held)]))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{fields}, {added}")
 
 
 def greedy_decode(hidden: np.ndarray, step: Callable[[np.ndarray, np.ndarray], np.ndarray], eos: int, pad: int, max_len: int, max_batch: int = 32, start: int = 0) -> np.ndarray:
@@ -108,26 +143,51 @@ def stub_step(vocabulary: int = 16) -> Callable[[np.ndarray, np.ndarray], np.nda
     return step
 
 
-def recognise_formulas(formulas: DataFrame, batch: int = 64) -> DataFrame:
-    """Formulas (formula_id, area, hidden) with latex, decoded in chunks of like area; the ids bring
-    the results back to their rows, so no order has to be undone."""
+def formula_model(step: Callable[[np.ndarray, np.ndarray], np.ndarray], tokens: Callable[[Sequence[int]], str], eos: int = 1, pad: int = PAD, max_len: int = 32) -> Loader:
+    """A loader of a model that decodes a batch's `hidden` by a step function and spells its tokens."""
+
+    def read(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = greedy_decode(np.stack(rows["hidden"].to_numpy()), step, eos, pad, max_len)
+        return pd.DataFrame({"latex": [tokens([t for t in row if t != pad]) for row in ids.tolist()]})
+
+    return lambda: read
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in chunked(frame.sort_values(["area", "formula_id"]), max(1, batch // 2)):
-                ids = greedy_decode(np.stack(part.hidden.to_numpy()), stub_step(), eos=1, pad=PAD, max_len=32)
-                yield part[["formula_id"]].assign(latex=[" ".join(str(t) for t in row if t != PAD) for row in ids])
 
-    decoded = formulas.select("formula_id", "area", "hidden").mapInPandas(run, "formula_id long, latex string")
-    return formulas.join(decoded, "formula_id", "left").withColumn("latex", F.coalesce("latex", F.lit("")))
+def spelled(ids: Sequence[int]) -> str:
+    return " ".join(map(str, ids))
 
 
-def recognise_lines(lines: DataFrame, loader: Loader, key: Any = ("ocr_rec",)) -> DataFrame:
+def recognise_formulas(formulas: DataFrame, batch: int = 64, loader: Loader | None = None, key: Any = ("mfr",)) -> DataFrame:
+    """Formulas (formula_id, area, hidden) with latex, decoded in chunks of half a batch in order of their
+    area over all rows, so that what is decoded together is of like size."""
+    chunks = windows.sorted_chunks(formulas, "area", "formula_id", max(1, batch // 2), "__chunk")
+    made = apply_in_batches(chunks, ["__chunk"], ["area", "formula_id"], key, loader or formula_model(stub_step(), spelled), "latex string")
+    return made.drop("__chunk").withColumn("latex", F.coalesce("latex", F.lit("")))
+
+
+def recognise_lines(lines: DataFrame, loader: Loader, key: Any = ("ocr_rec",), warm_up: pd.DataFrame | None = None) -> DataFrame:
     """Lines (lang, batch_id, line_id, ...) with text and score, one call per batch; a score that isn't
     a number is 0."""
-    made = apply_in_batches(lines, ["lang", "batch_id"], key, loader, "line_id long, text string, score double")
+    made = apply_in_batches(lines, ["lang", "batch_id"], ["line_id"], key, loader, "text string, score double", warm_up)
     # on its way from pandas a number that isn't one may become null
-    return lines.join(made, "line_id").withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
+    return made.withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
+
+
+def onnx_model(path: str, feed: Callable[[pd.DataFrame], dict[str, np.ndarray]], spell: Callable[[pd.DataFrame, list[np.ndarray]], pd.DataFrame], most: int | None = None) -> Loader:
+    """A loader of a network file of the onnxruntime library, opened once a worker: `feed` makes its inputs
+    from rows, `spell` rows from its outputs. At most `most` rows are run at once, the profile's own limit."""
+
+    def load() -> Model:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(path, providers=onnxruntime.get_available_providers())
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([spell(part, session.run(None, feed(part))) for part in chunked(rows, most or max(1, len(rows)))], ignore_index=True)
+
+        return run
+
+    return load
 
 
 def ctc_text(indices: Sequence[int], alphabet: str, blank: int = 0) -> str:

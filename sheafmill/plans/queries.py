@@ -484,9 +484,8 @@ def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_model():
     def read(rows: pd.DataFrame) -> pd.DataFrame:
-        widest = rows.padded_w.max()
-        score = np.where(rows.line_id % 9 == 0, np.nan, rows.w / widest)
-        return pd.DataFrame({"line_id": rows.line_id, "text": [f"w{w}" for w in rows.w], "score": score})
+        w, widest, ids = (rows[c].to_numpy() for c in ("w", "padded_w", "line_id"))
+        return pd.DataFrame({"text": [f"w{x}" for x in w.tolist()], "score": np.where(ids % 9 == 0, np.nan, w / widest.max())})
 
     return read
 

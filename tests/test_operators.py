@@ -117,6 +117,21 @@ def test_fallback_and_result_counts(spark):
     assert models.ctc_text([1, 1, 0, 1, 2, 2], "ab") == "aab"
 
 
+def test_batches_that_span_frames(spark):
+    """Small Arrow frames cut batches in two; a null key makes a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(k, None if k % 10 == 9 else "ab"[k % 2], (k // 10) % 3) for k in range(200)]
+        model = lambda: lambda part: pd.DataFrame({"n": [len(part)] * len(part), "first": [part.id.min()] * len(part)})
+        made = models.apply_in_batches(spark.createDataFrame(rows, "id long, lang string, batch int"), ["lang", "batch"], ["id"], ("b",), model, "n long, first long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(made) == 200
+    for r in made:
+        own = [k for k, lang, batch in rows if (lang, batch) == (r.lang, r.batch)]
+        assert (r.n, r.first) == (len(own), min(own))
+
+
 def test_sizes(spark):
     rows = spark.createDataFrame([(k, h, w) for k, (h, w) in enumerate([(16, 48), (80, 1), (1000, 2000), (960, 960), (10, 10)])], "k int, h int, w int")
     got = [(r.s.h, r.s.w) for r in rows.select("k", scalar.det_size(F.col("h"), F.col("w")).alias("s")).orderBy("k").collect()]

@@ -23,7 +23,7 @@ def test_formulas_are_decoded_or_dropped(spark):
 
 def reader():
     def read(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"line_id": rows.line_id, "text": [f"line {k}" if k < 4 else "(cid:)" for k in rows.line_id], "score": [0.91251 if k != 2 else 0.1 for k in rows.line_id]})
+        return pd.DataFrame({"text": [f"line {k}" if k < 4 else "(cid:)" for k in rows.line_id], "score": [0.91251 if k != 2 else 0.1 for k in rows.line_id]})
 
     return read
 
