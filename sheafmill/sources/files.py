@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import prefix
+from . import storage
 
 #: A renderer takes (path, content or None, first page, last page) and gives an image and, if it can,
 #: the characters of each page.
@@ -21,8 +24,8 @@ Renderer = Callable[[str, bytes | None, int, int], list[tuple[bytes, str | None]
 PAGE_SCHEMA = "path string, page_index int, image binary, chars string"
 
 
-def documents(spark: SparkSession, target: str, content: bool = False) -> DataFrame:
-    """doc_index, path, name and length of the PDF files below a folder, ordered by path, or of one
+def documents(spark: SparkSession, target: str, content: bool = False, pattern: str = "*.pdf") -> DataFrame:
+    """doc_index, path, name and length of the PDF files (those of a pattern) below a folder, ordered by path, or of one
     file, whose suffix may be in any case; without `content` no file is opened. A target that is
     neither gives an empty result."""
     columns = ["path", "length", *(["content"] if content else [])]
@@ -31,7 +34,7 @@ def documents(spark: SparkSession, target: str, content: bool = False) -> DataFr
         rows = spark.createDataFrame([], f"path string, length long{', content binary' * content}")
     else:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        rows = (reader.option("pathGlobFilter", "*.pdf") if known else reader).load(target).select(columns)
+        rows = (reader.option("pathGlobFilter", pattern) if known else reader).load(target).select(columns)
     paths = rows.select("path")
     ranked = prefix.row_rank(paths, "path", "doc_index", place=prefix.text_place(paths, "path"))
     return rows.join(ranked, "path").select("doc_index", "path", text.stem(F.col("path")).alias("name"), *columns[1:])
@@ -60,25 +63,46 @@ def page_counts(docs: DataFrame, count: Callable[[bytes], int]) -> DataFrame:
     return docs.withColumn("page_count", counted("content"))
 
 
-def pages(ranges: DataFrame, render: Renderer, by_bytes: Renderer | None = None) -> DataFrame:
+@contextmanager
+def _limited(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError inside if it takes longer; a worker runs its tasks in its main thread."""
+
+    def stop(*_: Any) -> None:
+        raise TimeoutError(f"rendering took more than {seconds} s")
+
+    if not seconds:
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def pages(ranges: DataFrame, render: Renderer, by_bytes: Renderer | None = None, timeout: float | None = None, fetch: Callable[[str], bytes] = storage.read_bytes) -> DataFrame:
     """path, page_index, image and chars of the pages of `ranges` (path, first, last), spread over tasks
-    by range. Where `render` fails and there is `by_bytes`, that is given the file's content. If the
-    characters of any page of a range are missing, those of the whole range are null."""
+    by range. Where `render` fails, or takes more seconds than `timeout`, and there is `by_bytes`, that is
+    given the file's content. If the characters of any page of a range are missing, those of the whole
+    range are null. The number of tasks is given, four a core, as a range of few bytes is much work."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, first, last in zip(frame["path"], frame["first"], frame["last"]):
                 try:
-                    made = render(path, None, first, last)
+                    with _limited(timeout):
+                        made = render(path, None, first, last)
                 except Exception:
                     if by_bytes is None:
                         raise
-                    with open(path.removeprefix("file:"), "rb") as file:
-                        made = by_bytes(path, file.read(), first, last)
+                    made = by_bytes(path, fetch(path), first, last)
                 whole = len(made) == last - first + 1 and all(c is not None for _, c in made)
                 yield pd.DataFrame({"path": path, "page_index": range(first, first + len(made)), "image": [i for i, _ in made], "chars": [c if whole else None for _, c in made]})
 
-    return ranges.where("last >= first").select("path", "first", "last").repartition("path", "first").mapInPandas(run, PAGE_SCHEMA)
+    tasks = 4 * ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.where("last >= first").select("path", "first", "last").repartition(tasks, "path", "first").mapInPandas(run, PAGE_SCHEMA)
 
 
 def with_cached_chars(wanted: DataFrame, cached: DataFrame, compute) -> DataFrame:
