@@ -128,6 +128,12 @@ def turned(images: DataFrame, ratio: float = 1.5) -> DataFrame:
     return _mapped(images, lambda row: [image_row(pixels.upright(pixels_of(row), ratio))], IMAGE)
 
 
+def quarter_turned(images: DataFrame, turns: Column) -> DataFrame:
+    """Images turned by a number of quarters, against the clock."""
+    make = lambda row: [image_row(np.rot90(pixels_of(row), int(row["__turns"])))]
+    return _mapped(images.withColumn("__turns", turns.cast("int")), make, IMAGE, ("__turns",))
+
+
 def decoded(rows: DataFrame) -> DataFrame:
     """Images of Spark's own image source (column image), with its path."""
     plain = rows.select("image.origin", "image.height", "image.width", "image.nChannels", F.col("image.data").alias("raw"))

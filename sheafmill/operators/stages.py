@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar, text
 from . import filters, models, routing, windows
@@ -46,10 +47,11 @@ def is_slanted(quad: Column, slope: float = 0.1) -> Column:
     return F.abs(quad[1]["y"] - quad[0]["y"]) > slope * width
 
 
-def text_stage(items: DataFrame, pages: DataFrame, detect: Net, loader: models.Loader, least: float = 0.5, width: float = 3.0) -> DataFrame:
+def text_stage(items: DataFrame, pages: DataFrame, detect: Net, loader: models.Loader, least: float = 0.5, width: float = 3.0, crop: Net | None = None, key: tuple = ("ocr_rec",), most: int = windows.ITEMS, budget: int = windows.BUDGET) -> DataFrame:
     """Recognised lines (PAGE, line_id, bbox, text, score) of the text regions: `detect` gives line_id,
-    which is unique, and quad of each line of a region's padded crop; lines are moved to their page,
-    set upright, cut to it and recognised in batches under the budget, by language; noise goes."""
+    which is unique (a number, or a struct that begins with PAGE), and quad of each line of a region's padded crop; lines are moved to their page,
+    set upright, cut to it and recognised in batches under the budget, by language; noise goes. `crop`
+    gives the image of each line (line_id and what a reader takes)."""
     crops = items.where(F.col("label").isin(*TEXT_LABELS) & F.col("bbox").isNotNull())
     crops = crops.select(*KEY, scalar.padded_crop(F.col("bbox")).alias("crop"))
     lines = detect(crops).select(*KEY, "line_id", "quad").join(crops, list(KEY)).join(pages, list(PAGE))
@@ -65,8 +67,11 @@ def text_stage(items: DataFrame, pages: DataFrame, detect: Net, loader: models.L
     turned = scalar.needs_rotation(F.col("size.w"), F.col("size.h"))
     w, h = F.when(turned, F.col("size.h")).otherwise(F.col("size.w")), F.when(turned, F.col("size.w")).otherwise(F.col("size.h"))
     lines = lines.withColumn("w", scalar.quantize_width(scalar.line_width(w, h)))
-    batches = windows.adaptive_batches(lines.select("line_id", "lang", "w"))
-    read = models.recognise_lines(batches, loader).select("line_id", "text", filters.three_places(F.col("score")).alias("score"))
+    plain = not isinstance(lines.schema["line_id"].dataType, T.StructType)
+    place = None if plain else (F.col("line_id.doc_index") * (1 << 20) + F.col("line_id.page_index")).cast("double")
+    batches = windows.adaptive_batches(lines.select("line_id", "lang", "w"), items=most, budget=budget, place=place)
+    batches = batches if crop is None else batches.join(crop(lines), "line_id")
+    read = models.recognise_lines(batches, loader, key).select("line_id", "text", filters.three_places(F.col("score")).alias("score"))
     known = lines.select(*PAGE, "line_id", "bbox", "ocr_enable").join(read, "line_id")
     kept = filters.as_ocr_text(filters.without_noise(known, least), F.col("ocr_enable"))
     return kept.select(*PAGE, "line_id", "label", "bbox", "text", "score")
@@ -92,9 +97,14 @@ def seal_stage(items: DataFrame, recognise: Net) -> DataFrame:
     return filters.seals(boxes.join(recognise(boxes).select(*KEY, "seal_texts"), list(KEY), "left")).select(*KEY, "bbox", "seal_texts")
 
 
-def page_blocks(items: DataFrame, lines: DataFrame, tables: DataFrame, seals: DataFrame) -> DataFrame:
-    """PAGE and blocks: all results of a page in order of their boxes, top to bottom and left to right."""
-    block = lambda label, bbox, body: F.struct(bbox["y0"].alias("y"), bbox["x0"].alias("x"), label.alias("label"), bbox.alias("bbox"), body.cast("string").alias("content"))
+def down_and_right(bbox: Column) -> Column:
+    """A place in reading order: top to bottom and left to right."""
+    return F.struct(bbox["y0"], bbox["x0"])
+
+
+def page_blocks(items: DataFrame, lines: DataFrame, tables: DataFrame, seals: DataFrame, order: Callable[[Column], Column] = down_and_right) -> DataFrame:
+    """PAGE and blocks: all results of a page in the order of their boxes' places; those without a box first."""
+    block = lambda label, bbox, body: F.struct(order(bbox).alias("at"), label.alias("label"), bbox.alias("bbox"), body.cast("string").alias("content"))
     rows = items.where(F.col("label").isin(*filters.FORMULAS)).select(*PAGE, block(F.col("label"), F.col("bbox"), F.col("latex")).alias("b"))
     rows = rows.unionByName(lines.select(*PAGE, block(F.col("label"), F.col("bbox"), F.col("text")).alias("b")))
     placed = tables.join(items.select(*KEY, "bbox"), list(KEY))

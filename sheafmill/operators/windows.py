@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import row_rank, running_sum
@@ -52,7 +52,7 @@ def completion_windows(documents: DataFrame, pages: int = PAGES) -> DataFrame:
     return whole.select("doc_index", F.coalesce("pages_done", F.lit(0)).alias("pages_done"), "final_window")
 
 
-def adaptive_batches(lines: DataFrame, group: str = "lang", id_col: str = "line_id", width: str = "w", items: int = ITEMS, budget: int = BUDGET) -> DataFrame:
+def adaptive_batches(lines: DataFrame, group: str = "lang", id_col: str = "line_id", width: str = "w", items: int = ITEMS, budget: int = BUDGET, place: Column | None = None) -> DataFrame:
     """`lines` with batch_id and padded_w: within a group, by width and id, a batch takes the next line
     while it has fewer than `items` and its number of lines times the new width is within budget; a
     line over the budget is a batch of its own.
@@ -77,7 +77,7 @@ def adaptive_batches(lines: DataFrame, group: str = "lang", id_col: str = "line_
 
     states = ordered.select(group, F.explode(F.aggregate("runs", start, step, lambda s: s["out"])).alias("s"))
     states = states.select(group, F.col("s.w").alias(width), F.col("s.opened").alias("opened"), F.col("s.held").alias("held"), F.col("s.cap").alias("cap"))
-    ranked = row_rank(lines.withColumn(width, F.col(width).cast("long")), id_col, "rank", (group, width)).join(states, [group, width])
+    ranked = row_rank(lines.withColumn(width, F.col(width).cast("long")), id_col, "rank", (group, width), place=place).join(states, [group, width])
     fill = F.when(F.col("opened") > 0, F.greatest(F.col("cap") - F.col("held"), F.lit(0))).otherwise(F.lit(0))
     batch = F.when(F.col("rank") < fill, F.col("opened") - 1).otherwise(F.col("opened") + F.floor((F.col("rank") - fill) / F.col("cap")))
     placed = ranked.select(*lines.columns, batch.cast("long").alias("batch_id"))
@@ -85,12 +85,13 @@ def adaptive_batches(lines: DataFrame, group: str = "lang", id_col: str = "line_
     return placed.join(widest, [group, "batch_id"]).select(*lines.columns, "batch_id", "padded_w")
 
 
-def sorted_chunks(rows: DataFrame, order: str, key: str, size: int, name: str = "chunk_id") -> DataFrame:
-    """`rows` with the number of their chunk of `size` rows in order of `order`, a number that may be any
-    share of the rows', and `key`, which is unique; null counts as 0."""
+def sorted_chunks(rows: DataFrame, order: str, key: str, size: int, name: str = "chunk_id", place: Column | None = None) -> DataFrame:
+    """`rows` with the number of their chunk of `size` rows in order of `order`, a number of which a third
+    of the rows may have the same, and `key`, which is unique (with a `place`, if it is no number); a null
+    order counts as 0."""
     filled = rows.withColumn("__order", F.coalesce(F.col(order).cast("double"), F.lit(0.0)))
     starts = running_sum(filled.groupBy("__order").agg(F.count("*").alias("__n")), "__order", F.col("__n"), "__before")
-    ranked = row_rank(filled, key, "__rank", ("__order",)).join(starts.select("__order", "__before"), "__order")
+    ranked = row_rank(filled, key, "__rank", ("__order",), place=place).join(starts.select("__order", "__before"), "__order")
     return ranked.select(*rows.columns, F.floor((F.col("__before") + F.col("__rank")) / size).alias(name))
 
 

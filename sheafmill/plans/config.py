@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 METHODS = ("auto", "ocr", "txt")
 PRECISIONS = ("fp16", "fp32", "tf32")
@@ -35,6 +35,8 @@ class Settings:
     tables: bool = True
     render: bool = True
     warm_up_pages: int = 1
+    #: Seconds that rendering one page range may take; none is no limit.
+    render_seconds: float | None = None
 
     def __post_init__(self) -> None:
         if self.method not in METHODS:
@@ -46,17 +48,21 @@ class Settings:
             raise ValueError("a window holds a page at least")
 
     def resolved(self) -> Settings:
-        at = lambda given, name: given or os.path.join(self.engines_dir, name)
-        rec = "crnn_fp16.engine" if self.rec_precision == "fp16" else "crnn.engine"
+        at = lambda given, name, precision: given or os.path.join(self.engines_dir, f"{name}{precision}.engine")
+        encoder, rec = ("_fp16" if p == "fp16" else "" for p in (self.encoder_precision, self.rec_precision))
         return replace(
             self,
-            encoder_engine=at(self.encoder_engine, "encoder_fp16.engine"),
-            decoder_init_engine=at(self.decoder_init_engine, "decoder_init_fp16.engine"),
-            decoder_past_engine=at(self.decoder_past_engine, "decoder_with_past_fp16.engine"),
-            det_engine=at(self.det_engine, "dbnet.engine"),
-            rec_engine=at(self.rec_engine, rec),
+            encoder_engine=at(self.encoder_engine, "encoder", encoder),
+            decoder_init_engine=at(self.decoder_init_engine, "decoder_init", encoder),
+            decoder_past_engine=at(self.decoder_past_engine, "decoder_with_past", encoder),
+            det_engine=at(self.det_engine, "dbnet", "" if self.det_precision == "fp16" else f"_{self.det_precision}"),
+            rec_engine=at(self.rec_engine, "crnn", rec),
         )
 
+    def engines(self) -> dict[str, str]:
+        """Paths of engine files by the name of their setting."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name.endswith("_engine") and getattr(self, f.name)}
+
     def environment(self) -> dict[str, str]:
         """Switches as environment text."""
         return {"FORMULA_ENABLE": str(self.formulas), "TABLE_ENABLE": str(self.tables)}

@@ -18,10 +18,11 @@ from ..functions import text
 from ..operators import prefix
 from . import storage
 
-#: A renderer takes (path, content or None, first page, last page) and gives an image and, if it can,
-#: the characters of each page.
-Renderer = Callable[[str, bytes | None, int, int], list[tuple[bytes, str | None]]]
-PAGE_SCHEMA = "path string, page_index int, image binary, chars string"
+#: An image, the characters of the page if there are any, and the image's height and width, 0 if left out.
+Page = tuple
+#: A renderer takes (path, content or None, first page, last page) and gives its pages.
+Renderer = Callable[[str, bytes | None, int, int], list[Page]]
+PAGE_SCHEMA = "path string, page_index int, image binary, chars string, h int, w int"
 
 
 def documents(spark: SparkSession, target: str, content: bool = False, pattern: str = "*.pdf") -> DataFrame:
@@ -35,9 +36,14 @@ def documents(spark: SparkSession, target: str, content: bool = False, pattern:
     else:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
         rows = (reader.option("pathGlobFilter", pattern) if known else reader).load(target).select(columns)
+    return numbered(rows.select("path", text.stem(F.col("path")).alias("name"), *columns[1:]))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (path, which is unique) with doc_index, their place in order of the path."""
     paths = rows.select("path")
     ranked = prefix.row_rank(paths, "path", "doc_index", place=prefix.text_place(paths, "path"))
-    return rows.join(ranked, "path").select("doc_index", "path", text.stem(F.col("path")).alias("name"), *columns[1:])
+    return rows.join(ranked, "path").select("doc_index", *rows.columns)
 
 
 def page_ranges(docs: DataFrame, size: int) -> DataFrame:
@@ -98,8 +104,9 @@ def pages(ranges: DataFrame, render: Renderer, by_bytes: Renderer | None = None,
                     if by_bytes is None:
                         raise
                     made = by_bytes(path, fetch(path), first, last)
-                whole = len(made) == last - first + 1 and all(c is not None for _, c in made)
-                yield pd.DataFrame({"path": path, "page_index": range(first, first + len(made)), "image": [i for i, _ in made], "chars": [c if whole else None for _, c in made]})
+                whole = len(made) == last - first + 1 and all(m[1] is not None for m in made)
+                size = [m[2:4] if len(m) > 2 else (0, 0) for m in made]
+                yield pd.DataFrame({"path": path, "page_index": range(first, first + len(made)), "image": [m[0] for m in made], "chars": [m[1] if whole else None for m in made], "h": [h for h, _ in size], "w": [w for _, w in size]})
 
     tasks = 4 * ranges.sparkSession.sparkContext.defaultParallelism
     return ranges.where("last >= first").select("path", "first", "last").repartition(tasks, "path", "first").mapInPandas(run, PAGE_SCHEMA)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import time
 from collections.abc import Iterable
 from typing import Any
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import storage
 
 
 def output_dir(base: str, path: Column, method: Column) -> Column:
@@ -23,35 +24,29 @@ def tag_of(path: str) -> str:
     return hashlib.sha1(path.encode()).hexdigest()[:8]
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Whole or not at all: a task that is run again replaces its own file."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as file:
-        file.write(data)
-    os.replace(part, path)
-
-
 def write_documents(results: DataFrame, render: bool = True) -> DataFrame:
-    """Write the files of each row of `results` (doc_index, name, folder, middle_json, content_list,
-    markdown, model_json) where the rows are, and return doc_index, folder and files written. The
-    middle result and the content list are always written, the rest only with `render`. The folder is
-    one that all executors share."""
+    """Write the files of each row of `results` (doc_index, path, name, folder, middle_json, content_list,
+    markdown, model_json) where the rows are, and return doc_index, folder, the number of files and
+    the time when they were written. The middle result and the content list are always written; Markdown, the models'
+    result and a copy of the document only with `render`. The folder is one that all executors share."""
 
     def run(frames):
         for frame in frames:
-            counts = []
+            counts, times = [], []
             for row in frame.itertuples():
                 files = {f"{row.name}_middle.json": row.middle_json, f"{row.name}_content_list.json": row.content_list}
                 if render:
                     files |= {f"{row.name}.md": row.markdown, f"{row.name}_model.json": row.model_json}
-                files = {k: v for k, v in files.items() if v is not None}
-                for name, value in files.items():
-                    write_file(f"{row.folder}/{name}", value.encode())
-                counts.append(len(files))
-            yield frame[["doc_index", "folder"]].assign(files=counts)
+                made = {k: v.encode() for k, v in files.items() if v is not None}
+                if render:
+                    made[f"{row.name}_origin.pdf"] = storage.read_bytes(row.path)
+                for name, value in made.items():
+                    storage.write_bytes(f"{row.folder}/{name}", value)
+                counts.append(len(made))
+                times.append(time.time())
+            yield frame[["doc_index", "folder"]].assign(files=counts, written=times)
 
-    return results.mapInPandas(run, "doc_index long, folder string, files int")
+    return results.mapInPandas(run, "doc_index long, folder string, files int, written double")
 
 
 def write_images(images: DataFrame) -> DataFrame:
@@ -61,15 +56,16 @@ def write_images(images: DataFrame) -> DataFrame:
         for frame in frames:
             paths = [f"{f}/{n}" for f, n in zip(frame["folder"], frame["name"])]
             for path, data in zip(paths, frame["data"]):
-                write_file(path, bytes(data))
+                storage.write_bytes(path, bytes(data))
             yield frame[[]].assign(path=paths)
 
     return images.mapInPandas(run, "path string")
 
 
-def write_results(results: DataFrame, path: str, by: str = "name") -> None:
-    """Results as JSON lines, a folder per document name."""
-    results.write.mode("overwrite").partitionBy(by).json(path)
+def write_results(results: DataFrame, path: str, by: str = "path") -> None:
+    """Results as JSON lines, a folder per document, named by its path as in `output_dir`."""
+    tag = F.concat_ws("-", text.stem(F.col(by)), F.substring(F.sha1(F.col(by).cast("binary")), 1, 8))
+    results.withColumn("document", tag).write.mode("overwrite").partitionBy("document").json(path)
 
 
 def timing_table(rows: Iterable[Any], title: str = "") -> str:

@@ -14,6 +14,13 @@ def _located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+def remove(folder: str) -> None:
+    """A folder and all below it, if it is there."""
+    system, name = _located(folder)
+    if system.get_file_info(name).type == fs.FileType.Directory:
+        system.delete_dir(name)
+
+
 def read_bytes(path: str) -> bytes:
     system, name = _located(path)
     with system.open_input_stream(name, compression=None) as file:

@@ -1,9 +1,10 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheafmill.plans import cli
+from sheafmill.plans import cli, nets
 from sheafmill.plans.config import Settings
 from sheafmill.plans.engine import Engine
 from sheafmill.sources import files, sinks
@@ -30,26 +31,93 @@ def test_collects_documents(spark, tree):
     assert files.documents(spark, str(tree / "missing")).count() == 0
 
 
-def test_process_writes_each_document_once(spark, tree):
-    settings = Settings(output_dir=str(tree / "out"), window_pages=2)
-    engine = Engine(spark, settings, model=lambda image, chars: [{"label": "title"}])
-    rows = engine.process(str(tree / "in")).orderBy("doc_index").collect()
-    assert [(r.name, r.pages) for r in rows] == [("a", 2), ("a", 1), ("b", 0)]
-    assert len({r.output_dir for r in rows}) == 3
+def white(path, content, first, last):
+    """Pages of 40 x 60 white pixels; the document of one page has characters."""
+    return [(b"\xff" * 7200, "typed words" if path.endswith("sub/a.pdf") else None, 40, 60) for _ in range(first, last + 1)]
+
+
+def stubs(engines, settings):
+    """Models that see a title with two lines, a table with one cell, a formula in and one beside it, and a seal."""
+    box = lambda x0, y0, x1, y1: {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
+    items = [("table", box(0, 20, 30, 36)), ("title", box(5, 2, 50, 10)), ("inline_formula", box(2, 22, 12, 30)), ("display_formula", box(40, 22, 58, 30)), ("text", box(1, 21, 29, 35)), ("seal", box(32, 31, 38, 38))]
+    quad = lambda x0, y0, x1, y1: [{"x": float(x), "y": float(y)} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    column = lambda **made: lambda: lambda rows: pd.DataFrame({k: [f(r) for r in rows.to_dict("records")] for k, f in made.items()})
+    detect = lambda r: [quad(50, 50, 90, 54), quad(50, 56, 90, 58)] if r["h"] == 108 else [quad(52, 52, 62, 60)]
+    return nets.Nets(
+        layout=column(items=lambda r: [{"label": k, "bbox": b, "score": 1.0, "text": None} for k, b in items] if r["h"] == 40 else []),
+        formula=column(latex=lambda r: f"{r['w']}x{r['h']}"), detect=column(quads=detect),
+        reader=column(text=lambda r: f"line {r['crop_w']}x{r['h']}", score=lambda r: 0.9), classify=column(turns=lambda r: 1, cls_label=lambda r: "WiredTable", cls_score=lambda r: 1.0),
+        wireless=column(html=lambda r: ""), wired=column(html=lambda r: f"z<table>{r['w']}x{r['h']} " + "|".join(c["text"] for c in r["ocr_result"]) + "</table>"), seal=column(seal_texts=lambda r: ["A", ""]),
+    )
+
+
+def test_stages_from_files_to_files(spark, tree):
+    seen = []
+    with Engine(spark, Settings(output_dir=str(tree / "out"), window_pages=2, min_confidence=0.1), render=white, make=stubs) as engine:
+        rows = engine.process_many([str(tree / "in"), str(tree / "in/a.pdf")], seen.append).orderBy("doc_index").collect()
+        assert {"render", "layout", "formula", "detect", "reader", "classify", "tables", "seals", "blocks", "output"} <= {r.stage for r in engine.stage_report().collect()}
+    assert not list((tree / "out/_work").iterdir())
+    assert [(r.doc_index, r.name, r.pages) for r in rows] == [(0, "a", 2), (1, "a", 1), (2, "b", 0)]
+    assert [r.doc_index for r in seen][0] == 2 and len(seen) == 3 and len({r.output_dir for r in rows}) == 3
+    assert all(r.process_ms > 0 for r in rows)
+    folder = lambda r, name: (tree / "out").joinpath(r.output_dir, f"{r.name}{name}")
     for r in rows:
-        middle = json.loads((tree / "out").joinpath(r.output_dir, f"{r.name}_middle.json").read_text())
-        assert len(middle["pdf_info"]) == r.pages
-    engine.process(str(tree / "in"))
-    assert not list((tree / "out").rglob("*.part"))
+        middle = json.loads(folder(r, "_middle.json").read_text())
+        assert [p["page_idx"] for p in middle["pdf_info"]] == list(range(r.pages)) and all(p["page_size"] == [60, 40] for p in middle["pdf_info"])
+        assert folder(r, "_origin.pdf").read_bytes().startswith(b"%PDF")
+    listed = json.loads(folder(rows[0], "_content_list.json").read_text())
+    page = [(b["type"], b["content"]) for b in listed if b["page_idx"] == 1]
+    assert page == [
+        ("ocr_text", "line 40x4"), ("ocr_text", "line 40x2"), ("table", "<table>16x30 $110x108$|line 10x8</table>"), ("inline_formula", "110x108"), ("display_formula", "118x108"), ("seal", "A"),
+    ]
+    assert "$$\n118x108\n$$\n\nA" in folder(rows[0], ".md").read_text()
+    # the document with characters isn't recognised: its text is what it holds
+    assert "typed words" in folder(rows[1], ".md").read_text() and "line 40" not in folder(rows[1], ".md").read_text()
+    assert json.loads(folder(rows[2], "_content_list.json").read_text()) == [] and not list((tree / "out").rglob("*.part"))
+
+
+def test_switches(spark, tree):
+    target = str(tree / "in/sub/a.pdf")
+    settings = Settings(output_dir=str(tree / "out"), method="ocr", formulas=False, tables=False, render=False, batch_ratio=3, warm_up_pages=0, min_confidence=0.1)
+    with Engine(spark, settings, render=white, make=stubs) as engine:
+        row = engine.process(target).first()
+    assert sorted(p.name for p in (tree / "out").joinpath(row.output_dir).iterdir()) == ["a_content_list.json", "a_middle.json"]
+    kinds = [b["type"] for b in json.loads((tree / "out").joinpath(row.output_dir, "a_content_list.json").read_text())]
+    assert kinds == ["ocr_text", "ocr_text", "display_formula", "ocr_text", "seal"]
+
+
+def test_engine_files_make_the_models(spark, tmp_path):
+    (tmp_path / "crnn_fp16.engine").write_bytes(b"")
+    given = []
+    Engine(spark, Settings(engines_dir=str(tmp_path), rec_precision="fp16"), make=lambda engines, settings: given.append((engines, settings.lang)) or nets.Nets())
+    assert given == [({"rec_engine": str(tmp_path / "crnn_fp16.engine")}, "en")]
 
 
 def test_command_line(spark, tree, capsys):
     assert cli.main([str(tree / "none")], spark) == 1
-    assert cli.main([str(tree / "in"), "-o", str(tree / "out"), "--no-render"], spark) == 0
-    assert "pages_a_second" in capsys.readouterr().out
+    assert cli.main([str(tree / "in"), "-o", str(tree / "out"), "--no-render", "--bench", "--nets", "sheafmill.plans.nets:nothing"], spark) == 0
+    shown = capsys.readouterr().out
+    assert "pages_a_second" in shown and "layout" in shown
     assert not list((tree / "out").rglob("*.md"))
 
 
+def test_reading_is_spread_over_tasks(spark):
+    ranges = spark.createDataFrame([(f"f{k}", 0, 0) for k in range(40)], "path string, first int, last int").coalesce(1)
+    pages = files.pages(ranges, white)
+    counts = pages.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(counts) > 4
+
+
+def test_a_range_that_takes_too_long(spark):
+    def slow(path, content, first, last):
+        while content is None:
+            pass
+        return [(content, None)]
+
+    ranges = spark.createDataFrame([("x", 0, 0)], "path string, first int, last int")
+    assert [bytes(r.image) for r in files.pages(ranges, slow, slow, 0.2, lambda path: b"whole").collect()] == [b"whole"]
+
+
 def test_settings():
     plain = Settings().resolved()
     assert plain.decoder_init_engine.endswith("decoder_init_fp16.engine") and plain.decoder_past_engine.endswith("decoder_with_past_fp16.engine")
