@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sheafmill.llm import quality_classifier, quality_rules
 from sheafmill.llm.common import utf8
@@ -158,6 +159,22 @@ def test_classifier_defined_results(spark, tmp_path):
     assert quality_classifier.score(docs.limit(0), one, folder=f"{tmp_path}/c").count() == 0
 
 
+def test_labels_without_a_document_leave_the_sample_whole(spark):
+    """Of many labelled ids few are in the documents: all of these are learnt from."""
+    ids = spark.range(40_000).selectExpr("id", "CAST(id % 2 AS int) AS label")
+    rows = spark.range(400).selectExpr("id * 100 AS id", "transform(sequence(1, 23), x -> CAST(x * (id % 2) AS float)) AS features")
+    known = rows.join(ids, "id").where(~quality_classifier.held_out(F.col("id"))).count()
+    seen = []
+    quality_classifier_train = quality_classifier.train
+    try:
+        quality_classifier.train = lambda table, labels: seen.append(len(labels)) or quality_classifier_train(table[:9], labels[:9])
+        quality_classifier.fit(rows, ids, train_rows=1000)
+        quality_classifier.fit(rows.union(rows).union(rows), ids, train_rows=200)
+    finally:
+        quality_classifier.train = quality_classifier_train
+    assert seen == [known, 200]
+
+
 def test_table_sums_are_the_score():
     rng = np.random.default_rng(2)
     rows = rng.normal(size=(600, len(quality_classifier.FEATURES))).astype(np.float32)
