@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafmill.llm import bpe, decontamination, near_dedup, quality_rules, secrets
-from sheafmill.llm.common import shared_dir, stored, table
+from sheafmill.llm.common import scratch, shared_dir, stored, table
 from sheafmill.llm.queries import PATTERN, VOCABULARY
 
 
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"{folder}/stage-{k}")
+        with scratch(spark):  # what a stage wrote on its way isn't read again
+            docs = stored(stage(spark, docs, sf_dir), f"{folder}/stage-{k}")
     return docs
