@@ -185,6 +185,12 @@ def pad_right(values: Column, size: Column, pad: Column) -> Column:
     return F.concat(values, F.array_repeat(pad, F.greatest(size - F.size(values), F.lit(0)).cast("int")))
 
 
+def last_flattened(values: Column) -> Column:
+    """Lists of lists of numbers as one list, and its last element."""
+    flat = F.flatten(values)
+    return F.struct(flat.alias("flat"), F.get(flat, F.size(flat) - 1).alias("last"))
+
+
 def select_tokens(next_tokens: Column, unfinished: Column, pad: int) -> Column:
     """The next token of rows that go on, `pad` for finished ones."""
     return next_tokens * unfinished + F.lit(pad) * (1 - unfinished)

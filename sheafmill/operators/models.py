@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import windows
 
@@ -47,6 +48,38 @@ def with_fallback(fast: Model, slow: Model) -> Model:
     return run
 
 
+def routed(fast: Model, slow: Model, fits: Callable[[pd.DataFrame], np.ndarray]) -> Model:
+    """The fast model for the rows that `fits` says it takes, the slow one for the others, in one order.
+    Adds used_fast."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        inside = np.asarray(fits(rows), bool)
+        parts = [(model(rows[own]).assign(used_fast=used), np.flatnonzero(own)) for model, own, used in ((fast, inside, True), (slow, ~inside, False)) if own.any()]
+        if not parts:
+            return slow(rows).assign(used_fast=False)
+        out = pd.concat([made for made, _ in parts], ignore_index=True)
+        return out.iloc[np.argsort(np.concatenate([at for _, at in parts]), kind="stable")].reset_index(drop=True)
+
+    return run
+
+
+def expect_shapes(tensors: dict[str, Sequence[int]], expected: dict[str, Sequence[int | None]]) -> None:
+    """Raises ValueError unless the named tensors have the expected shapes, None being any size."""
+    for name, want in expected.items():
+        have = tensors.get(name)
+        if have is None or len(have) != len(want) or any(w is not None and h != w for h, w in zip(have, want)):
+            raise ValueError(f"{name} has shape {have and tuple(have)}, not {tuple(want)}")
+
+
+def expect_columns(df: DataFrame, expected: str) -> DataFrame:
+    """The frame, if it has the columns of a schema text with these types; else ValueError."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    want = {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(expected).fields}
+    if wrong := {k: have.get(k) for k, kind in want.items() if have.get(k) != kind}:
+        raise ValueError(f"expected {', '.join(f'{k} {want[k]}' for k in wrong)}; have {wrong}")
+    return df
+
+
 def chunked(rows: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
     for at in range(0, len(rows), size):
         yield rows.iloc[at : at + size]

@@ -66,6 +66,14 @@ def all_passed(builds: DataFrame) -> DataFrame:
     return builds.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"))
 
 
+def with_batch_table(results: DataFrame, table: DataFrame, key: str = "doc_index") -> DataFrame:
+    """Results of a run, of which the first alone carries the run's table (stage, calls, wall_ms, pct) as
+    batch_table, in order of stages; a run has few stages."""
+    row = table.agg(F.sort_array(F.collect_list(F.struct("stage", "calls", "wall_ms", "pct"))).alias("t")).scalar()
+    first = results.agg(F.min(key)).scalar()
+    return results.withColumn("batch_table", F.when(F.col(key) == first, row))
+
+
 def formula_cost(timings: DataFrame) -> DataFrame:
     """Microseconds a formula, from `timings` (seconds, formulas)."""
     sums = timings.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"), F.coalesce(F.sum("formulas"), F.lit(0)).alias("formulas"))

@@ -117,7 +117,7 @@ class Engine:
         """Items (KEY, label, bbox, score, text, latex, html) of all pages, after the split of the models."""
         found = self._applied(pages.select(*PAGE, "chars", "h", "w", "data"), "layout").select(*PAGE, F.posexplode("items").alias("item_idx", "i"))
         items = found.select(*KEY, "i.*", F.lit(None).cast("string").alias("latex"), F.lit(None).cast("string").alias("html"))
-        return self._kept(self.nets.split(items), "layout")
+        return self._kept(models.expect_columns(self.nets.split(items), f"doc_index long, page_index int, item_idx int, label string, bbox {nets.BOX}, latex string"), "layout")
 
     def formulas(self, pages: DataFrame, items: DataFrame) -> DataFrame:
         """All items, formulas with their latex, which are decoded in chunks of like area."""
@@ -139,7 +139,8 @@ class Engine:
             found = self._applied(self._crops(pages, crops.select(*KEY, scalar.box(*(F.col(f"crop.{c}") for c in ("xmin", "ymin", "xmax", "ymax"))).alias("bbox"))), "detect")
             lines = found.select(*KEY, F.posexplode("quads").alias("n", "quad"))
             lines = lines.select(*KEY, F.struct(*KEY, "n").alias("line_id"), "quad")
-            return self._kept(self.nets.update(self.nets.merge(lines), items.where(F.col("label").isin(*filters.FORMULAS))), "detect")
+            merged = self.nets.update(self.nets.merge(lines), items.where(F.col("label").isin(*filters.FORMULAS)))
+            return self._kept(models.expect_columns(merged.select(*KEY, "line_id", "quad"), f"doc_index long, quad {nets.QUADS[6:-1]}"), "detect")
 
         meta = pages.select(*PAGE, "lang", "ocr_enable", F.col("w").alias("width"), F.col("h").alias("height"))
         crop = lambda lines: rasters.line_crops(pages, lines.select(*PAGE, "line_id", "quad"), PAGE, "line_id").select("line_id", "h", F.col("w").alias("crop_w"), "data")

@@ -439,6 +439,16 @@ def mapped_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.stage_report(reports.mapped_stages(_timings(spark, sf_dir, "kind", "wall_ms").withColumn("kind", kind)))
 
 
+@query(f"""WITH {_TIMINGS}, s AS (SELECT stage, count(*) AS calls, CAST(sum(wall_ms) AS BIGINT) AS ms FROM t GROUP BY stage)
+    SELECT doc_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN (SELECT string_agg(stage || ':' || calls || ':' || ms, ',' ORDER BY stage) FROM s) END AS batch_table FROM documents""")
+def first_batch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first result carries the run's table."""
+    table = reports.stage_report(_timings(spark, sf_dir, "stage", "wall_ms"))
+    rows = reports.with_batch_table(_table(spark, sf_dir, "documents").select("doc_id"), table, "doc_id")
+    cell = F.transform("batch_table", lambda r: F.concat_ws(":", r["stage"], r["calls"], r["wall_ms"].cast("long")))
+    return rows.select("doc_id", F.when(F.col("batch_table").isNotNull(), F.array_join(cell, ",")).alias("batch_table"))
+
+
 @query(f"WITH {_TIMINGS} SELECT stage AS section, count(*) AS calls, sum(wall_ms) AS ms, sum(wall_ms) / sum(sum(wall_ms)) OVER () * 100 AS pct FROM t GROUP BY stage")
 def section_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.section_report(_timings(spark, sf_dir, "section", "ms"))
@@ -456,6 +466,13 @@ def ab_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.speed_up(_timings(spark, sf_dir, "mode", "ms"), "view", "click")
 
 
+@query("""SELECT p_partkey, array_to_string(list_concat(range(p_size % 4), range(p_partkey % 5)), ',') AS flat, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 5 - 1 WHEN p_size % 4 > 0 THEN p_size % 4 - 1 END AS last FROM part""")
+def flattened_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    made = scalar.last_flattened(F.array(ids((F.col("p_size") % 4).cast("long")), ids((F.col("p_partkey") % 5).cast("long"))))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(made["flat"].cast("array<string>"), ",").alias("flat"), made["last"].alias("last"))
+
+
 @query("""SELECT event_type AS engine, count(DISTINCT user_id) AS injected FROM events GROUP BY event_type""")
 def injected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.injected(_table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), F.col("user_id").alias("part_id")))

@@ -147,6 +147,14 @@ def known_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", filters.known_algorithm(kind, name).alias("taken"))
 
 
+@query("SELECT lang, doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'r' || n_chars END AS result FROM documents")
+def results_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results back at their inputs by group and ordinal, in whatever order they come; some have none."""
+    inputs = _table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    results = inputs.where("doc_id % 3 <> 0").select("lang", "doc_id", F.concat(F.lit("r"), "n_chars").alias("result")).orderBy(F.xxhash64("doc_id"))
+    return routing.by_ordinal(inputs.select("lang", "doc_id"), results, ["lang", "doc_id"])
+
+
 @query("""WITH z AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
     SELECT conv_id, turn, array_to_string([w[i] || ':' || length(w[i]) FOR i IN range(1, len(w) + 1)], ',') AS pairs FROM z""")
 def zipped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

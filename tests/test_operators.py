@@ -117,6 +117,22 @@ def test_fallback_and_result_counts(spark):
     assert models.ctc_text([1, 1, 0, 1, 2, 2], "ab") == "aab"
 
 
+def test_routes_and_checks(spark):
+    rows = pd.DataFrame({"x": [1, 200, 3, 400]})
+    double, minus = (lambda r: pd.DataFrame({"y": r.x.to_numpy() * 2})), (lambda r: pd.DataFrame({"y": -r.x.to_numpy()}))
+    out = models.routed(double, minus, lambda r: r.x < 100)(rows)
+    assert out.y.tolist() == [2, -200, 6, -400] and out.used_fast.tolist() == [True, False, True, False]
+    assert models.routed(double, minus, lambda r: r.x < 100)(rows[:0]).y.tolist() == []
+    models.expect_shapes({"hidden": (2, 144, 8)}, {"hidden": (None, 144, None)})
+    for shapes in ({"hidden": (2, 9)}, {}, {"hidden": (2, 143, 8)}):
+        with pytest.raises(ValueError, match="hidden"):
+            models.expect_shapes(shapes, {"hidden": (None, 144, None)})
+    frame = spark.range(1)
+    assert models.expect_columns(frame, "id long") is frame
+    with pytest.raises(ValueError, match="label string"):
+        models.expect_columns(frame, "id long, label string")
+
+
 def test_batches_that_span_frames(spark):
     """Small Arrow frames cut batches in two; a null key makes a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
