@@ -89,11 +89,11 @@ class Engine:
 
     def read(self, targets: str | Sequence[str]) -> DataFrame:
         """doc_index, path, name and page_count of the documents of one or more targets, each once; written
-        once, so that all later steps see one list of files."""
+        once, so that all later steps see one list of files. Contents don't leave the tasks that read them."""
         several = [targets] if isinstance(targets, str) else list(targets)
-        found = reduce(DataFrame.union, (files.documents(self.spark, t, content=True).drop("doc_index") for t in several)).dropDuplicates(["path"])
+        found = reduce(DataFrame.union, (files.scan(self.spark, t, content=True) for t in several))
         counted = self._kept(files.page_counts(found, self._count).select("path", "name", F.col("page_count").cast("long").alias("page_count")), "counts")
-        return self._kept(files.numbered(counted), "documents")
+        return self._kept(files.numbered(counted.dropDuplicates(["path"])), "documents")
 
     def plan(self, documents: DataFrame) -> DataFrame:
         return windows.plan_windows(documents, self.settings.window_pages)

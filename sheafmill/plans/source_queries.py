@@ -9,6 +9,7 @@ from ..functions import scalar, text
 from ..operators import filters, routing, stages
 from ..sources import files
 from .config import Settings
+from .engine import Engine
 from .queries import _ITEMS_SQL, _LINES_OF, _items, _table, query
 
 _TABLES = sorted("benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split())
@@ -164,12 +165,30 @@ def zipped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["word"], p["n"])), ",").alias("pairs"))
 
 
+def _blocks(spark: SparkSession, sf_dir: str, doc: str, page: str) -> DataFrame:
+    rows = _items(spark, sf_dir).select(F.expr(doc).alias("doc_index"), F.expr(page).alias("page_index"), "item_idx", "label", "bbox", F.concat(F.lit("x"), "part").alias("latex"), F.concat(F.lit("line "), "part").alias("text"))
+    none = rows.limit(0)
+    tables, seals = none.select(*stages.KEY, F.lit("").alias("html")), none.select(*stages.KEY, "bbox", F.array(F.lit("")).alias("seal_texts"))
+    return stages.page_blocks(rows, rows.where("label = 'ocr_text'").select(*stages.PAGE, "label", "bbox", "text"), tables, seals)
+
+
+@query(f"""WITH i AS ({_ITEMS_SQL}), b AS (SELECT page // 7 AS doc_index, page % 7 AS page_index, y0, x0, label, x1, y1, CASE WHEN label = 'ocr_text' THEN 'line ' || part ELSE 'x' || part END AS content FROM i WHERE label IS NOT NULL),
+    m AS (SELECT *, CASE label WHEN 'inline_formula' THEN '$' || content || '$' WHEN 'display_formula' THEN '$$' || chr(10) || content || chr(10) || '$$' ELSE content END AS mark FROM b),
+    g AS (SELECT doc_index, string_agg(mark, chr(10) || chr(10) ORDER BY page_index, y0, x0, label, x1, y1, content) AS markdown, string_agg(page_index || ':' || label, ',' ORDER BY page_index, y0, x0, label, x1, y1, content) AS listed FROM m GROUP BY doc_index)
+    SELECT DISTINCT o_orderkey // 7 AS doc_index, coalesce(markdown, '') AS markdown, coalesce(listed, '') AS listed FROM orders LEFT JOIN g ON doc_index = o_orderkey // 7""")
+def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's Markdown and content list of documents of seven pages."""
+    docs = _table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 7").alias("doc_index")).distinct()
+    docs = docs.select("doc_index", F.concat(F.lit("doc-"), "doc_index").alias("path"), F.lit("doc").alias("name"))
+    blocks = _blocks(spark, sf_dir, "page div 7", "page % 7").withColumns({"w": F.lit(640), "h": F.lit(640)})
+    made = Engine(spark).assemble(docs, blocks)
+    listed = F.from_json("content_list", "array<struct<type:string,page_idx:long>>")
+    return made.select("doc_index", "markdown", F.array_join(F.transform(listed, lambda b: F.concat_ws(":", b["page_idx"], b["type"])), ",").alias("listed"))
+
+
 @query(f"""WITH i AS ({_ITEMS_SQL}), b AS (SELECT page, y0, x0, label, coalesce(CASE WHEN label = 'ocr_text' THEN 'line ' || part ELSE 'x' || part END, '') AS content, x1, y1 FROM i WHERE label IS NOT NULL)
     SELECT page AS doc_index, string_agg(label || '=' || content, '|' ORDER BY y0, x0, label, x1, y1, content) AS blocks FROM b GROUP BY page""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of all kinds as one list a page, in order of their boxes."""
-    rows = _items(spark, sf_dir).select(F.col("page").alias("doc_index"), F.lit(0).alias("page_index"), "item_idx", "label", "bbox", F.concat(F.lit("x"), "part").alias("latex"), F.concat(F.lit("line "), "part").alias("text"))
-    none = rows.limit(0)
-    tables, seals = none.select(*stages.KEY, F.lit("").alias("html")), none.select(*stages.KEY, "bbox", F.array(F.lit("")).alias("seal_texts"))
-    blocks = stages.page_blocks(rows, rows.where("label = 'ocr_text'").select(*stages.PAGE, "label", "bbox", "text"), tables, seals)
+    blocks = _blocks(spark, sf_dir, "page", "0")
     return blocks.select("doc_index", F.array_join(F.transform("blocks", lambda b: F.concat_ws("=", b["label"], b["content"])), "|").alias("blocks"))

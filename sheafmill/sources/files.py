@@ -25,10 +25,10 @@ Renderer = Callable[[str, bytes | None, int, int], list[Page]]
 PAGE_SCHEMA = "path string, page_index int, image binary, chars string, h int, w int"
 
 
-def documents(spark: SparkSession, target: str, content: bool = False, pattern: str = "*.pdf") -> DataFrame:
-    """doc_index, path, name and length of the PDF files (those of a pattern) below a folder, ordered by path, or of one
-    file, whose suffix may be in any case; without `content` no file is opened. A target that is
-    neither gives an empty result."""
+def scan(spark: SparkSession, target: str, content: bool = False, pattern: str = "*.pdf") -> DataFrame:
+    """path, name and length of the PDF files (those of a pattern) below a folder, or of one file, whose
+    suffix may be in any case; without `content` no file is opened. A target that is neither gives an
+    empty result."""
     columns = ["path", "length", *(["content"] if content else [])]
     known = os.path.isdir(target) or "://" in target
     if not known and not (os.path.isfile(target) and target.lower().endswith(".pdf")):
@@ -36,7 +36,13 @@ def documents(spark: SparkSession, target: str, content: bool = False, pattern:
     else:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
         rows = (reader.option("pathGlobFilter", pattern) if known else reader).load(target).select(columns)
-    return numbered(rows.select("path", text.stem(F.col("path")).alias("name"), *columns[1:]))
+    return rows.select("path", text.stem(F.col("path")).alias("name"), *columns[1:])
+
+
+def documents(spark: SparkSession, target: str, content: bool = False, pattern: str = "*.pdf") -> DataFrame:
+    """The files of `scan` with doc_index, their place in order of the path. Numbering joins them by path, so
+    contents of many files are better worked on in `scan`, where they are read, and numbered afterwards."""
+    return numbered(scan(spark, target, content, pattern))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
