@@ -50,5 +50,6 @@ def run_batches(stream: DataFrame, process: Callable[[DataFrame, int], None], ch
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "1 day", time: str = "ts") -> DataFrame:
     """Counts by type in tumbling windows of event time; later rows than the watermark are dropped, as
     is usual for streams. The same on a table of events is a plain aggregation."""
-    windowed = events.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), "event_type")
+    # a watermark needs times that are points, which those without a zone become by the session's
+    windowed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), "event_type")
     return windowed.count().select("w.start", "w.end", "event_type", "count")
