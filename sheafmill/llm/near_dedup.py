@@ -43,6 +43,8 @@ LEAST = 85
 SKETCH_LEAST = 0.70
 #: Members of a block, and about how many shingles a block's sets hold together.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Pairs of members that a task compares, about two blocks' own.
+TASK_PAIRS = 1 << 21
 
 _MULTIPLY = (random64(SAMPLES, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _FLIP = (random64(SAMPLES, 32) >> np.uint64(32)).astype(np.uint32)
@@ -357,7 +359,11 @@ def _within(graph: _Graph) -> tuple[DataFrame, DataFrame]:
     texts = _texts(rows.select("id"), graph.texts, graph.repeated)
     rows = rows.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "sum_a", "sum_b", "text")
-    return two, rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block")
+    # tasks by the pairs and shingles to compare, which few bytes may be many of
+    cost = sizes.where("n > 2").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("total").alias("total")).first()
+    tasks = max(cost.pairs or 0, (cost.total or 0) // 2) // TASK_PAIRS + 1
+    most = 32 * graph.texts.sparkSession.sparkContext.defaultParallelism
+    return two, rows.repartition(int(min(tasks, most)), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block")
 
 
 def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
