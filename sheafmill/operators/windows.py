@@ -55,13 +55,14 @@ def completion_windows(documents: DataFrame, pages: int = PAGES) -> DataFrame:
 def adaptive_batches(lines: DataFrame, group: str = "lang", id_col: str = "line_id", width: str = "w", items: int = ITEMS, budget: int = BUDGET, place: Column | None = None) -> DataFrame:
     """`lines` with batch_id and padded_w: within a group, by width and id, a batch takes the next line
     while it has fewer than `items` and its number of lines times the new width is within budget; a
-    line over the budget is a batch of its own.
+    line over the budget is a batch of its own, and lines of width 0 are limited by `items` alone.
 
     Equal widths make runs, and only the counts of runs are folded in order: a group has as many as
     there are different widths. A line's batch follows from its run's state and its place in the run,
     so no task sees a whole group, and equal widths may be any share of the rows.
     """
-    cap = F.greatest(F.lit(1), F.least(F.lit(items), F.floor(F.lit(budget) / F.col(width)).cast("int")))
+    within = F.when(F.col(width) > 0, F.floor(F.lit(budget) / F.col(width)).cast("int")).otherwise(F.lit(items))
+    cap = F.greatest(F.lit(1), F.least(F.lit(items), within))
     runs = lines.groupBy(group, width).agg(F.count("*").alias("n")).withColumn("cap", cap)
     ordered = runs.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(width).alias("w"), "n", "cap"))).alias("runs"))
     # the state before a run: batches opened so far, and the lines of the last one
