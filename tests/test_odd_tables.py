@@ -38,3 +38,9 @@ def test_lists_of_empty_documents_are_padded(spark, tmp_path):
     documents_of(spark, tmp_path, EMPTY)
     rows = same_as_sql(spark, "pad_to_bucket", tmp_path, "documents")
     assert sum(r.ids == "" for r in rows) > sum(r.ids == "-1" for r in rows) > 0
+
+
+def test_empty_documents_are_recognised(spark, tmp_path):
+    documents_of(spark, tmp_path, EMPTY)
+    rows = same_as_sql(spark, "recognise_lines", tmp_path, "documents")
+    assert len(rows) == len(EMPTY)
