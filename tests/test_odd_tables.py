@@ -3,8 +3,9 @@
 import duckdb
 
 from sheafmill.plans.catalog import ORACLE_SQL, QUERIES
+from sheafmill.sources import files
 
-from .test_oracle import plain
+from .test_oracle import TABLES, plain
 
 
 def same_as_sql(spark, name, folder, *tables):
@@ -44,3 +45,18 @@ def test_empty_documents_are_recognised(spark, tmp_path):
     documents_of(spark, tmp_path, EMPTY)
     rows = same_as_sql(spark, "recognise_lines", tmp_path, "documents")
     assert len(rows) == len(EMPTY)
+
+
+def test_tables_in_folders_are_scanned_as_one(spark, tmp_path):
+    folder = tmp_path / "all.parquet" / "sf"
+    for name in sorted(set(TABLES.split()) - {"orders", "pages"}):
+        (folder / f"{name}.parquet").parent.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.parquet").write_bytes(b"1")
+    for k, part in enumerate(("orders.parquet/part-0.parquet", "orders.parquet/part-1.parquet", "pages.parquet/k=1/part-0.parquet", "pages.parquet/k=2.parquet/part-0.parquet")):
+        (folder / part).parent.mkdir(parents=True, exist_ok=True)
+        (folder / part).write_bytes(b"22" * (k + 1))
+    (folder / "orders.parquet/_SUCCESS").write_bytes(b"")
+    assert len(same_as_sql(spark, "document_scan", folder)) == 14
+    for target in (str(folder), f"{folder}/", f"file://{folder}"):
+        whole = files.in_folders(files.scan(spark, target, pattern="*.parquet"), target, ".parquet").where("length > 1").orderBy("path").collect()
+        assert [(r.path, r.name, r.length) for r in whole] == [(f"file:{folder}/orders.parquet", "orders", 6), (f"file:{folder}/pages.parquet", "pages", 14)]
