@@ -1,6 +1,7 @@
 """Queries over tables that the given ones don't hold, against their SQL."""
 
 import duckdb
+import pyarrow as pa
 
 from sheafmill.plans.catalog import ORACLE_SQL, QUERIES
 from sheafmill.sources import files
@@ -60,3 +61,13 @@ def test_tables_in_folders_are_scanned_as_one(spark, tmp_path):
     for target in (str(folder), f"{folder}/", f"file://{folder}"):
         whole = files.in_folders(files.scan(spark, target, pattern="*.parquet"), target, ".parquet").where("length > 1").orderBy("path").collect()
         assert [(r.path, r.name, r.length) for r in whole] == [(f"file:{folder}/orders.parquet", "orders", 6), (f"file:{folder}/pages.parquet", "pages", 14)]
+
+
+def test_pages_of_many_ranges_leave_as_one_batch():
+    ranges = pa.RecordBatch.from_pydict({"path": [f"d{k}" for k in range(3000)], "first": [0] * 3000, "last": [2] * 3000})
+    page = lambda path, content, first, last: [(b"1", "c") for _ in range(first, last + 1)]
+    made = list(files._rendered(iter([ranges, ranges]), page, None, None, None))
+    assert sum(map(len, made)) == 18_000 and len(made) < 6 and pa.Table.from_batches(made).column("path").to_pylist() == [f"d{k}" for _ in range(2) for k in range(3000) for _ in range(3)]
+    large = lambda path, content, first, last: [(bytes(1 << 20), None) for _ in range(first, last + 1)]
+    sizes = [b.nbytes for b in files._rendered(iter([ranges.slice(0, 40)]), large, None, None, None)]
+    assert sum(sizes) > 120 << 20 and max(sizes) < 12 << 20
