@@ -19,6 +19,8 @@ from ..functions import pixels
 
 IMAGE = "h int, w int, data binary"
 TENSOR = "shape array<int>, tensor array<float>"
+#: Bytes of pixels or numbers that a task makes before it hands them on, besides those of one row.
+PIECE = 1 << 22
 
 Row = dict[str, Any]
 
@@ -35,6 +37,25 @@ def tensor_row(tensor: np.ndarray | None) -> Row:
     return {"shape": None if tensor is None else list(tensor.shape), "tensor": None if tensor is None else tensor.ravel()}
 
 
+def _bytes(row: Row) -> int:
+    made = row["data"] if "data" in row else row["tensor"]
+    return 0 if made is None else memoryview(made).nbytes
+
+
+def _in_pieces(frame: pd.DataFrame, make: Callable[[Row], Sequence[Row]]) -> Iterator[tuple[int, list[Sequence[Row]]]]:
+    """What `make` gives for the rows of a frame, in pieces of some bytes of pixels, with the place of their first row."""
+    found: list[Sequence[Row]] = []
+    at, held = 0, 0
+    for k, values in enumerate(zip(*(frame[c].tolist() for c in frame.columns))):
+        found.append(make(dict(zip(frame.columns, values))))
+        held += sum(_bytes(row) for row in found[-1])
+        if held >= PIECE:
+            yield at, found
+            at, held, found = k + 1, 0, []
+    if found or not len(frame):
+        yield at, found
+
+
 def _mapped(images: DataFrame, make: Callable[[Row], Sequence[Row]], made: str, used: Sequence[str] = ()) -> DataFrame:
     """`images` without their pixels and the columns `used`, and with what `make` gives for each row."""
     kept = [f for f in images.schema.fields if f.name not in ("h", "w", "data", *used)]
@@ -43,10 +64,10 @@ def _mapped(images: DataFrame, make: Callable[[Row], Sequence[Row]], made: str,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [make(row) for row in frame.to_dict("records")]
-            rest = frame.iloc[np.repeat(np.arange(len(frame)), list(map(len, found)))][[f.name for f in kept]].reset_index(drop=True)
-            rows = [row for several in found for row in several]
-            yield rest.assign(**{n: pd.Series([row[n] for row in rows], dtype=object if n in ("data", "shape", "tensor") else None) for n in names})
+            for at, found in _in_pieces(frame, make):
+                rest = frame.iloc[np.repeat(np.arange(at, at + len(found)), list(map(len, found)))][[f.name for f in kept]].reset_index(drop=True)
+                rows = [row for several in found for row in several]
+                yield rest.assign(**{n: pd.Series([row[n] for row in rows], dtype=object if n in ("data", "shape", "tensor") else None) for n in names})
 
     return images.mapInPandas(run, schema)
 

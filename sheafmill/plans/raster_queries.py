@@ -20,6 +20,7 @@ from .queries import _table, query
 
 def _images(spark: SparkSession, sf_dir: str, h: str, w: str, table: str = "supplier", key: str = "s_suppkey") -> DataFrame:
     rows = _table(spark, sf_dir, table).select(F.col(key).cast("long").alias("k"))
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "k")  # a row of few bytes is much work
     rows = rows.select("k", F.expr(h).cast("int").alias("h"), F.expr(w).cast("int").alias("w"))
     value = lambda i: (F.col("k") * 7 + F.floor(i / (F.col("w") * 3)) * 31 + F.floor(i / 3) % F.col("w") * 17 + i % 3 * 59) % 256
     data = F.array_join(F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") * 3 - 1), lambda i: F.lpad(F.hex(value(i).cast("long")), 2, "0")), "")

@@ -1,8 +1,12 @@
 """Queries over tables that the given ones don't hold, against their SQL."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from sheafmill.operators import rasters
 from sheafmill.plans.catalog import ORACLE_SQL, QUERIES
 from sheafmill.sources import files
 
@@ -71,3 +75,18 @@ def test_pages_of_many_ranges_leave_as_one_batch():
     large = lambda path, content, first, last: [(bytes(1 << 20), None) for _ in range(first, last + 1)]
     sizes = [b.nbytes for b in files._rendered(iter([ranges.slice(0, 40)]), large, None, None, None)]
     assert sum(sizes) > 120 << 20 and max(sizes) < 12 << 20
+
+
+def test_tensors_leave_in_pieces_of_some_bytes():
+    frame = pd.DataFrame({"k": range(50), "n": [k % 4 for k in range(50)]})
+    make = lambda row: [rasters.tensor_row(np.full((1, 256, 512), row["k"], np.float32) if row["k"] % 5 else None) for _ in range(row["n"])]
+    pieces = list(rasters._in_pieces(frame, make))
+    assert [at for at, _ in pieces] == np.cumsum([0, *(len(found) for _, found in pieces)])[:-1].tolist() and sum(len(found) for _, found in pieces) == 50
+    assert [len(rows) for _, found in pieces for rows in found] == frame.n.tolist()
+    assert max(sum(r["tensor"].nbytes for rows in found for r in rows if r["tensor"] is not None) for _, found in pieces) < rasters.PIECE + (3 << 19) and len(pieces) > 5
+
+
+def test_pieces_keep_their_images_columns(spark):
+    images = spark.range(40).select(F.col("id").alias("k"), F.lit(2).alias("h"), F.lit(3).alias("w"), F.expr("unhex(repeat(lpad(hex(id), 2, '0'), 18))").alias("data"), F.when(F.col("id") % 3 == 0, "n").alias("note"))
+    rows = rasters.line_inputs(images, F.lit(4), F.lit(1000), 64).select("k", "note", F.col("tensor")[0].alias("v"), F.size("tensor").alias("n")).collect()
+    assert {(r.k, r.note, round((r.v + 1) * 127.5), r.n) for r in rows} == {(k, "n" if k % 3 == 0 else None, k, 3 * 64 * 1000) for k in range(40)} and len(rows) == 40
